@@ -1,7 +1,7 @@
 """Queries of the training-data operators, by name."""
 
-from graphloom.llm import langid, simhash, sstable, tokencount
+from graphloom.llm import langid, secrets, simhash, sstable, tokencount
 
-_MODULES = (simhash, sstable, tokencount, langid)
+_MODULES = (simhash, sstable, tokencount, langid, secrets)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
