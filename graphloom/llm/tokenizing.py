@@ -40,22 +40,56 @@ def path_of(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: How byte-level vocabularies write each byte.
+_SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SEEN)}
+#: Letters for which lower case and composed form do not depend on their neighbours.
+_PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+
+
 class WordIds(dict):
-    """Ids of white-space-separated words as little-endian unsigned bytes; for vocabularies that drop white space."""
+    """Ids of white-space-separated words as little-endian unsigned bytes; for vocabularies that drop white space and case.
+
+    Two tiers: words as written, then their cores in lower case without final stops and commas. A core of
+    plain letters is one pre-token, so the library's model encodes it without the steps before; other words
+    go through the whole library.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.cores: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-        out = b"".join([i.to_bytes(self.width, "little") for i in ids])
+        core = word.rstrip(b".,")
+        if core[-1:].isalnum() and len(core) < len(word):
+            out = self._core(core) + self._core(word[len(core) :])
+        else:
+            out = self._core(word)
         if len(word) <= LONGEST_CACHED:
             if len(self) >= MOST_CACHED:
                 self.clear()
             self[word] = out
         return out
 
+    def _core(self, core: bytes) -> bytes:
+        if core.isascii():
+            core = core.lower()
+        out = self.cores.get(core)
+        if out is None:
+            text = core.decode()
+            if _PLAIN.fullmatch(text):
+                ids = [t.id for t in self.model.tokenize("".join([BYTE_CHARS[b] for b in text.lower().encode()]))]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out = b"".join([i.to_bytes(self.width, "little") for i in ids])
+            if len(core) <= LONGEST_CACHED:
+                if len(self.cores) >= MOST_CACHED:
+                    self.cores.clear()
+                self.cores[core] = out
+        return out
+
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
