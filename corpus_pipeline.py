@@ -1,25 +1,50 @@
-"""Corpus pipeline: the stages that turn raw documents into training shards."""
+"""Corpus pipeline: the stages that turn raw documents into training shards.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents. Nulls in any column, empty tables, repeated rows
+and extra columns are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from graphloom.llm import simhash
-from graphloom.llm.common import stage
+from graphloom.llm import decontaminate, langid, mixing, simhash, sstable
+from graphloom.llm.common import stage, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents whose language cannot be told: null texts, texts without a letter, and a posterior below a half."""
+    return langid.keep_known(docs, langid.fit(docs))
 
 
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near duplicates."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id of each group of linked fingerprints."""
     return simhash.keep_first(docs)
 
 
-STAGES = [("simhash_near_dedup", dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which benchmark passages are a twentieth or more; cut the passages out of the others."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mix sources to their target weights: each document's text is what the mix takes of it."""
+    return mixing.mixed(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write token-id shards and return one row for each document in them."""
+    return sstable.encode_documents(docs)
+
+
+STAGES = [("language_id", language_id), ("simhash_near_dedup", near_dedup), ("benchmark_decontamination", decontamination), ("source_mixing", mix_sources), ("token_shards", token_shards)]
+#: No SQL: naive Bayes, Golay keys and tokenization cannot be told in it. Tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, f in STAGES[:-1]:
         docs = stage(f(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -140,7 +140,10 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is told with a posterior of ``least`` at least.
 
     Rejected: null texts, texts without a letter, and texts that no language explains better than the rest together.
+    A model without languages rejects only the first two.
     """
+    if not model.languages:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
