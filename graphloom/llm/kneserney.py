@@ -42,13 +42,13 @@ SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score dou
 
 def pack(x: np.ndarray) -> bytes:
     """An array with its bytes of equal weight side by side, compressed."""
-    return zstandard.ZstdCompressor(level=1).compress(x.dtype.str.encode() + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(x.dtype.str.encode() + np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data)
     kind = np.dtype(raw[:3].decode())
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=3).reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=3).reshape(kind.itemsize, (len(raw) - 3) // kind.itemsize).T).view(kind).ravel()
 
 
 def delta(keys: np.ndarray) -> np.ndarray:

@@ -168,7 +168,7 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
     if repeated.isEmpty():
         return out
     same = docs["doc_id"].eqNullSafe(repeated["doc_id"])
-    # Only ids that occur again are looked at, by their whole rows' hashes: the least one stays.
+    # Only rows of ids that occur again are dealt out by id.
     return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
