@@ -1,0 +1 @@
+"""Analytics over knowledge graphs kept in four DataFrames: entities, facts, relations and diagnostics."""

@@ -4,10 +4,12 @@ Two lines are alike if they are equal or one substitution, insertion or deletion
 
 1. Every line gets a 128-bit id and four half-line keys. If two lines are one edit apart, the first or the
    second half of the shorter is whole in the longer, so they share a key; the others are settled as exact.
-2. Lines of which a key is shared emit their deletion neighbourhood as hashed keys, for each place i the line
+2. Lines of which a key is shared emit a key for each sixteenth left out: an edit is within one of them, so lines
+   one edit apart share one of these too, and few others do.
+3. Lines left emit their deletion neighbourhood as hashed keys, for each place i the line
    without character i: with i (lines under one such key differ by a substitution at i, all of
    them from each other) and without it (to be met by a whole line that is one shorter).
-3. For each key the earliest line and the number of lines are enough, so no pair within a key is emitted.
+4. For each key the earliest line and the number of lines are enough, so no pair within a key is emitted.
    The earliest like line of each line is verified by edit distance on the texts.
 
 A line occurrence goes if it is not the first of its text, or if an earlier text is one edit apart.
@@ -103,6 +105,25 @@ def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array(out, pa.string())], ["hi", "lo", "line"])
 
 
+def piece_keys(line: str, pieces: int = 16) -> list[int]:
+    """Keys of a line without one of its pieces, as the shorter of a pair and as the longer by one."""
+    out = []
+    for longer in (0, 1):
+        n = len(line) - longer
+        cuts = [j * n // pieces for j in range(pieces + 1)]
+        for j in range(pieces):
+            rest = line[: cuts[j]] + line[cuts[j + 1] + longer :]
+            out.append(xxhash.xxh64_intdigest(rest.encode("utf-8", "surrogatepass"), n * pieces + j) - (1 << 63))
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "line", 2 << 20):
+        keys = [sorted(set(piece_keys(x))) for x in batch.column("line").to_pylist()]
+        at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array([x for k in keys for x in k], pa.int64()), batch.column("hi").take(pa.array(at)), batch.column("lo").take(pa.array(at))], ["key", "hi", "lo"])
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -129,26 +150,23 @@ def neighbourhood(line: str) -> tuple[int, np.ndarray]:
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of a line: kind 0 a substitution's, 1 the whole line's, 2 a deletion's."""
+    """Keys of a line with its place and id: kind 0 a substitution's, 1 the whole line's, 2 a deletion's."""
+    salt = np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
-        at, held = [], 0
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("hi", "lo", "line")), strict=True))
-        for i, (hi, lo, line) in enumerate(rows):
+        held, n_held, at = [], 0, 0
+        for i, line in enumerate(batch.column("line").to_pylist()):
             n = len(line)
             whole, without = neighbourhood(line)
-            place = np.arange(n, dtype=np.uint64)
-            sub = (without ^ ((place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+            place = np.arange(1, n + 1, dtype=np.uint64)
+            sub = (without ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
             gone = np.unique(without)
-            salt = np.uint64(0xD6E8FEB86659FD93)
-            mix = lambda x, m: (x + np.uint64(m)) * salt
-            keys = np.concatenate([sub, mix(np.array([whole], np.uint64), n), mix(gone, n - 1)])
-            kinds = np.concatenate([np.zeros(n, np.int8), np.ones(1, np.int8), np.full(len(gone), 2, np.int8)])
-            at.append((keys.view(np.int64), kinds, np.full(len(keys), hi), np.full(len(keys), lo)))
-            held += len(keys)
-            if held > 100_000 or i == len(rows) - 1:
-                cols = [np.concatenate(x) for x in zip(*at, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "kind", "hi", "lo"])
-                at, held = [], 0
+            held.append((np.concatenate([sub, (np.array([whole], np.uint64) + np.uint64(n)) * salt, (gone + np.uint64(n - 1)) * salt]), np.repeat(np.array([0, 1, 2], np.int8), [n, 1, len(gone)])))
+            n_held += len(held[-1][0])
+            if n_held > 100_000 or i == batch.num_rows - 1:
+                keys, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
+                rows = pa.array(np.repeat(np.arange(at, i + 1), [len(k) for k, _ in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), batch.column("who").take(rows)], ["key", "kind", "who"])
+                held, n_held, at = [], 0, i + 1
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -168,14 +186,19 @@ def decisions(docs: DataFrame) -> DataFrame:
     distinct = stage(lines.groupBy("hi", "lo").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "texts")
     bits = spark.sparkContext.broadcast(shared_filter(distinct))
     passing = rows.select("text").mapInArrow(lambda it: _passing(it, bits.value), "hi long, lo long, line string")
-    texts = stage(passing.groupBy("hi", "lo").agg(F.first("line").alias("line")).join(distinct.select("hi", "lo", "first"), ["hi", "lo"]), "candidates")
-    emitted = texts.select("hi", "lo", "line").mapInArrow(_emit, "key long, kind byte, hi long, lo long").join(texts.select("hi", "lo", "first"), ["hi", "lo"])
-    emitted = stage(emitted, "neighbourhoods")
-    who = F.struct("first", "hi", "lo")
-    least = emitted.groupBy("key", F.least("kind", F.lit(1).cast("byte")).alias("form")).agg(
-        F.count_if(F.col("kind") < 2).alias("wholes"), F.count_if(F.col("kind") == 2).alias("gones"), F.min(F.when(F.col("kind") < 2, who)).alias("whole"), F.min(F.when(F.col("kind") == 2, who)).alias("gone")
-    ).where("wholes + gones > 1")
-    met = emitted.withColumn("form", F.least("kind", F.lit(1).cast("byte"))).join(least, ["key", "form"])
+    halved = stage(passing.groupBy("hi", "lo").agg(F.first("line").alias("line")), "halves")
+    pieces = stage(halved.mapInArrow(_pieces, "key long, hi long, lo long"), "pieces")
+    both = pieces.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    left = pieces.join(both, "key", "left_semi").select("hi", "lo").distinct()
+    texts = stage(halved.join(left, ["hi", "lo"]).join(distinct.select("hi", "lo", "first"), ["hi", "lo"]), "candidates")
+    emitted = texts.select("line", F.struct("first", "hi", "lo").alias("who"))
+    who = emitted.schema["who"].dataType.simpleString()
+    emitted = stage(emitted.mapInArrow(_emit, f"key long, kind byte, who {who}").withColumn("form", F.least("kind", F.lit(1).cast("byte"))), "neighbourhoods")
+    # Only keys that are met matter; counting them moves no place or id.
+    shared = emitted.groupBy("key", "form").agg(F.count_if(F.col("kind") < 2).alias("wholes"), F.count_if(F.col("kind") == 2).alias("gones")).where("wholes > 1 or (form = 1 and wholes + gones > 1)")
+    met = stage(emitted.join(shared, ["key", "form"]), "met")
+    least = met.groupBy("key", "form").agg(F.min(F.when(F.col("kind") < 2, F.col("who"))).alias("whole"), F.min(F.when(F.col("kind") == 2, F.col("who"))).alias("gone"))
+    met = met.join(least, ["key", "form"]).select("kind", "wholes", "gones", "whole", "gone", "who.hi", "who.lo")
     partner = F.when(F.col("kind") == 1, F.col("gone")).otherwise(F.col("whole"))
     n = F.when(F.col("kind") == 0, F.col("wholes") - 1).when(F.col("kind") == 1, F.col("gones")).otherwise(F.col("wholes"))
     linked = met.select("hi", "lo", n.alias("n"), partner.alias("partner")).where("n > 0").groupBy("hi", "lo").agg(F.sum("n").alias("n_links"), F.min("partner").alias("partner"))

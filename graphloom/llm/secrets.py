@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices, table
+from graphloom.llm.common import slices, stage, table
 
 KINDS = ("assign", "access", "hex", "grammar")
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -210,7 +210,7 @@ def learn(docs: DataFrame, most: int = MOST_SAMPLED) -> Grammar:
     sizes = {r["marked"]: r["n"] for r in marked.groupBy("marked").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("marked"), F.lit(min(1.0, most / max(1, sizes.get(True, 0))))).otherwise(F.lit(min(1.0, most / max(1, sizes.get(False, 0)))))
     some = marked.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)) & F.col("text").isNotNull())
-    words = some.select("text").mapInArrow(_labelled, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    words = stage(some.select("text").mapInArrow(_labelled, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "formats")
     labelled: dict[str, Counter[str]] = {}
     for kind in (*KINDS[:3], "ordinary"):
         for r in words.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(most).collect():
