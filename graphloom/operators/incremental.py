@@ -131,7 +131,7 @@ def contract_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def _list(payload: str, field: str) -> Column:
     """A payload's array of objects or strings as JSON texts."""
     raw = F.get_json_object(payload, f"$.{field}")
-    return F.coalesce(F.try_variant_get(F.try_parse_json(raw), "$", "array<string>"), F.array().cast("array<string>"))
+    return F.coalesce(F.from_json(raw, "array<string>"), F.array().cast("array<string>"))
 
 
 def endpoint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
