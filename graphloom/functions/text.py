@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 
 
 def fnv1a64(text: Column) -> Column:
-    """FNV-1a of UTF-8 bytes as 16 hex digits; null gives null.
+    """FNV-1a of a text's UTF-8 bytes as 16 hex digits; null gives null."""
+    return fnv1a64_bytes(F.encode(text, "UTF-8"))
+
+
+def fnv1a64_bytes(data: Column) -> Column:
+    """FNV-1a of bytes as 16 hex digits; null gives null.
 
     Sixty-four-bit products would overflow, so the state is two 32-bit halves.
     """
-    size = F.octet_length(text)
-    digits = F.hex(F.encode(text, "UTF-8"))
+    size = F.octet_length(data)
+    digits = F.hex(data)
     byte = lambda i: F.conv(F.substring(digits, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("bigint")
     low32 = F.lit(0xFFFFFFFF)
 
@@ -26,7 +31,7 @@ def fnv1a64(text: Column) -> Column:
     start = F.struct(F.lit(0x84222325).cast("bigint").alias("low"), F.lit(0xCBF29CE4).cast("bigint").alias("high"))
     indices = F.when(size > 0, F.sequence(F.lit(0), (size - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
     done = lambda s: F.lower(F.concat(F.lpad(F.hex(s["high"]), 8, "0"), F.lpad(F.hex(s["low"]), 8, "0")))
-    return F.when(text.isNotNull(), F.aggregate(indices, start, step, done))
+    return F.when(data.isNotNull(), F.aggregate(indices, start, step, done))
 
 
 def entity_id(prefix: str, stable_key: Column) -> Column:
