@@ -22,13 +22,13 @@ NONE = "array<string>"
 
 
 def emit(found: DataFrame, kind: str, severity: str, checker: str, message: str, fix: str | None = None, scope: str | None = None, open_kind: bool = False, snapshot: str = "") -> DataFrame:
-    """Diagnostics of (id, stable_key, path, detail[, module]): one for each entity and detail."""
+    """Diagnostics of (id, stable_key, path, detail[, module]), with the text that ``finished`` makes an id of."""
     detail = F.coalesce("detail", F.lit(""))
     one = F.struct(F.col("path").alias("source_file"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(checker).alias("extractor"), F.lit(None).cast("string").alias("commit_hash"), F.lit(1.0).cast("float").alias("confidence"), F.lit("verified").alias("status"))
     payload = F.to_json(F.struct(F.nullif(detail, F.lit("")).alias("detail"), *([F.col("module")] if "module" in found.columns else []), *([F.lit(scope).alias("scope")] if scope else [])))
     rows = found.select(
         F.lit(snapshot).alias("snapshot"),
-        F.concat(F.lit("diag_"), fnv1a64(F.concat_ws("\0", F.lit(kind), F.lit(scope or ""), "stable_key", detail))).alias("id"),
+        F.concat_ws("\0", F.lit(kind), F.lit(scope or ""), "stable_key", detail).alias("id_text"),
         F.lit("other" if open_kind else kind).alias("kind"),
         F.lit(kind if open_kind else None).cast("string").alias("kind_other"),
         F.lit(severity).alias("severity"),
@@ -41,7 +41,12 @@ def emit(found: DataFrame, kind: str, severity: str, checker: str, message: str,
         F.lit(fix).cast("string").alias("suggested_fix"),
         payload.alias("payload"),
     )
-    return conform(rows, "diagnostics")
+    return rows
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Diagnostic rows with ids, one for each rule, scope, entity and detail."""
+    return conform(rows.withColumn("id", F.concat(F.lit("diag_"), fnv1a64(F.col("id_text")))), "diagnostics").dropDuplicates(["id"])
 
 
 def subject(df: DataFrame, detail: Column | None = None, *more: Column) -> DataFrame:
@@ -475,7 +480,7 @@ def contract_findings(g: KnowledgeGraph) -> DataFrame:
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.dropDuplicates(["id"])
+    return out
 
 
 def dependency_findings(g: KnowledgeGraph) -> DataFrame:
@@ -560,14 +565,19 @@ def gated(diagnostics: DataFrame, affected: DataFrame) -> DataFrame:
     return diagnostics.join(own, "id", "left_semi")
 
 
+def rule_rows(g: KnowledgeGraph, checkers: dict[str, list[Callable[[KnowledgeGraph], DataFrame]]]) -> DataFrame | None:
+    """Unfinished rows of all rules; None without any."""
+    out = None
+    for rule in (r for rules in checkers.values() for r in rules):
+        rows = rule(g)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def check(g: KnowledgeGraph, checkers: tuple[str, ...] = tuple(CHECKERS), affected: DataFrame | None = None) -> DataFrame:
     """All diagnostics that the checkers derive, each id once; with ``affected`` (id), those that name an affected entity."""
-    out = None
-    for name in checkers:
-        for rule in CHECKERS[name]:
-            rows = rule(g)
-            out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    rows = rule_rows(g, {name: CHECKERS[name] for name in checkers})
+    if rows is None:
         return g.diagnostics.limit(0)
-    out = out.dropDuplicates(["id"])
+    out = finished(rows)
     return out if affected is None else gated(out, affected)

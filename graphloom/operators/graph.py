@@ -366,7 +366,8 @@ def violations(g: KnowledgeGraph, family: str, root_scheme: str, fields: tuple[s
         known = known & F.get_json_object("payload", f"$.{f}").isNotNull()
     a = d.where(known).select(F.concat(F.lit("diagnostic://"), "id").alias("src_key"), root.alias("dst_key"), F.lit("violates").alias("kind"))
     paths = F.array_compact(F.array_distinct(F.concat(F.coalesce("evidence.source_file", F.array().cast("array<string>")), F.array(F.get_json_object("payload", "$.path")))))
-    b = d.select(F.concat(F.lit("diagnostic://"), "id").alias("src_key"), F.concat(F.lit("file://"), F.explode(paths)).alias("dst_key"), F.lit("evidenced_by").alias("kind"))
+    files = F.transform(paths, lambda p: F.concat(F.lit("file://"), p))
+    b = d.select(F.concat(F.lit("diagnostic://"), "id").alias("src_key"), F.explode(files).alias("dst_key"), F.lit("evidenced_by").alias("kind"))
     return a.union(b).join(have, "dst_key", "left_semi").select("src_key", "dst_key", "kind")
 
 

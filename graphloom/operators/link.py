@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import named_type, normalized, parent_name, relation_id, resolved_path, static_segment
+from graphloom.functions.text import fnv1a64, named_type, normalized, parent_name, resolved_path, static_segment
 from graphloom.model import EVIDENCE, KnowledgeGraph, conform
 
 JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
@@ -34,14 +34,14 @@ def keyed(entities: DataFrame, end: str, key: Column, *more: Column) -> DataFram
 
 
 def emit(pairs: DataFrame, kind: str | Column, confidence: float, status: str = "verified", linker: str = "", open_kind: bool = False, snapshot: str = "") -> DataFrame:
-    """Relation rows of (src, src_key, src_path, dst, dst_key, dst_path): each once, with an id of kind and both keys."""
+    """Relations of (src, src_key, src_path, dst, dst_key, dst_path), with the text that ``finished`` makes an id of."""
     k = F.lit(kind) if isinstance(kind, str) else kind
     path = F.col("src_path")
     one = F.struct(path.alias("source_file"), F.lit(None).cast("int").alias("line_start"), F.lit(None).cast("int").alias("line_end"), F.lit(linker).alias("extractor"), F.lit(None).cast("string").alias("commit_hash"), F.lit(confidence).cast("float").alias("confidence"), F.lit("verified" if status == "verified" else "inferred").alias("status"))
     owners = F.transform(F.array_compact(F.array_distinct(F.array("src_path", "dst_path"))), lambda p: F.struct(p.alias("source_file")))
     out = pairs.select(
         F.lit(snapshot).alias("snapshot"),
-        relation_id(k, F.col("src_key"), F.col("dst_key")).alias("id"),
+        F.concat_ws("\0", k, "src_key", "dst_key").alias("id_text"),
         (F.lit("other") if open_kind else k).alias("kind"),
         (k if open_kind else F.lit(None).cast("string")).alias("kind_other"),
         "src",
@@ -52,7 +52,12 @@ def emit(pairs: DataFrame, kind: str | Column, confidence: float, status: str =
         owners.alias("ownership"),
         F.lit("{}").alias("payload"),
     )
-    return conform(out, "relations")
+    return out
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Relation rows with ids, each id once. Ids are hashed here, after the rules' union, so that the plan holds one such expression."""
+    return conform(rows.withColumn("id", F.concat(F.lit("rel_"), fnv1a64(F.col("id_text")))), "relations").dropDuplicates(["id"])
 
 
 def equi(left: DataFrame, right: DataFrame, selfs: bool = False) -> DataFrame:
@@ -342,16 +347,23 @@ def either_end(relations: DataFrame, affected: DataFrame) -> DataFrame:
     return relations.join(a.union(b).distinct(), "id", "left_semi").dropDuplicates(["id"])
 
 
-def link(g: KnowledgeGraph, linkers: tuple[str, ...] = tuple(LINKERS), affected: DataFrame | None = None) -> DataFrame:
-    """All relations that the linkers derive, each id once; with ``affected`` (id), those of which an end is affected."""
+def rule_rows(g: KnowledgeGraph, linkers: dict[str, list[Callable[[KnowledgeGraph], DataFrame]]]) -> DataFrame | None:
+    """Unfinished rows of all rules; None without any."""
     out = None
-    for name in linkers:
-        for rule in LINKERS[name]:
-            rows = rule(g)
-            out = rows if out is None else out.unionByName(rows)
+    for name, rules in linkers.items():
+        rows = [rule(g) for rule in rules]
         if name == "linker-rust":
             calls = rust_calls(g)
-            out = out.unionByName(calls).unionByName(tested_by(g, calls))
-    if out is None:
+            rows += [calls, tested_by(g, calls)]
+        for r in rows:
+            out = r if out is None else out.unionByName(r)
+    return out
+
+
+def link(g: KnowledgeGraph, linkers: tuple[str, ...] = tuple(LINKERS), affected: DataFrame | None = None) -> DataFrame:
+    """All relations that the linkers derive, each id once; with ``affected`` (id), those of which an end is affected."""
+    rows = rule_rows(g, {name: LINKERS[name] for name in linkers})
+    if rows is None:
         return g.relations.limit(0)
-    return out.dropDuplicates(["id"]) if affected is None else either_end(out, affected)
+    out = finished(rows)
+    return out if affected is None else either_end(out, affected)
