@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fnv1a64_bytes
+from graphloom.plans.staging import file_system
 
 IGNORED = (".git", "target", "node_modules", ".idea", ".vscode")
 #: Endings whose language is named otherwise.
@@ -34,12 +35,48 @@ def relative(path: Column, root: str) -> Column:
     return F.when(plain(path).startswith(base), F.substring(plain(path), F.length(base) + 1, F.length(path))).otherwise(path)
 
 
-def scan(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORED, most: int = 64 << 20) -> DataFrame:
+def hidden_files(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORED) -> DataFrame:
+    """(path, length, content) of files that Spark's own listing leaves out: any part of their path begins with . or _.
+
+    The driver lists the folder; executors read what is found.
+    """
+    fs, top = file_system(spark, root)
+    todo, found = [(top, False)], []
+    while todo:
+        at, inside = todo.pop()
+        for s in fs.listStatus(at):
+            name = s.getPath().getName()
+            hid = inside or name[0] in "._"
+            if s.isDirectory():
+                if name not in names:
+                    todo.append((s.getPath(), hid))
+            elif hid:
+                found.append((s.getPath().toString(), s.getLen()))
+
+    def read(batches):
+        from pyarrow import fs as pafs
+
+        for b in batches:
+            data = []
+            for path in b["path"]:
+                store, p = pafs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                with store.open_input_stream(p) as f:
+                    data.append(f.read())
+            yield b.assign(content=data)
+
+    rows = spark.createDataFrame(found, "path string, length long")
+    return rows.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism))).mapInPandas(read, "path string, length long, content binary")
+
+
+def scan(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORED, most: int = 64 << 20, hidden: bool = True) -> DataFrame:
     """All files below a folder of any file system that Spark reads, without ignored folders.
 
-    content is null where a file isn't UTF-8. Files over ``most`` bytes are listed without content and hash.
+    content is null where a file isn't UTF-8. Files over ``most`` bytes are listed without content and hash. Without ``hidden`` files
+    below names that begin with . or _ are left out, and the driver lists nothing.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    if hidden:
+        files = files.unionByName(hidden_files(spark, root, names))
     path = relative(F.col("path"), root)
     small = F.col("length") <= most
     body = F.when(small, F.col("content"))
