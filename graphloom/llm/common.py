@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch of texts, unless the session sets its own number.
+BATCH_ROWS, _ROWS_SETTING, _ROWS_DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold BATCH_ROWS rows at most: a batch of whole texts is held several times over on its way
+    through a Python worker. Another number than Spark's default stays."""
+    if spark.conf.get(_ROWS_SETTING, _ROWS_DEFAULT) == _ROWS_DEFAULT:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +52,7 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
+    bound_batches(df.sparkSession)
     path = fresh_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -75,7 +88,7 @@ def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``most`` bytes of text, or one row."""
     for batch in batches:
         at, held = 0, 0
@@ -86,6 +99,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             held += n or 0
         if at < batch.num_rows:
             yield batch.slice(at)
+    release()
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on, beside others and the JVM."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_texts, slices, stage, table
+from graphloom.llm.common import bound_batches, byte_texts, release, slices, stage, table
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are broadcast at once. A larger benchmark is cut into groups of
@@ -210,6 +210,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
     benchmark beyond ``most`` bytes is scanned for group by group; the last scan decides by all hits.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     names, mark, before = docs.columns, "__decontamination", F.array().cast("array<bigint>")
     groups = _groups(benchmark, most)
     items, more = next(groups), next(groups, None)
@@ -244,6 +245,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
         for i, (n, ranges) in enumerate(found(text, earlier, shared)):
             gone = bool(ranges) and 20 * sum(y - x for x, y in ranges) >= n
             rows.append((bool(ranges), gone, without(text.iloc[i].encode(), ranges) if ranges and not gone else None))
+        release()
         return pd.DataFrame(rows, columns=["cut", "gone", "text"])
 
     out = docs.withColumn(mark, decide("text", before)).where(f"not {mark}.gone")

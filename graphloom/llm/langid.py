@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import id_crc, slices, table
+from graphloom.llm.common import bound_batches, id_crc, release, slices, table
 
 #: Hash buckets of the feature space (a power of two) and the longest n-gram.
 BUCKETS, LONGEST = 1 << 15, 3
@@ -60,7 +60,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, bucket, n) and (lang, -1, documents), summed over a task."""
     held: dict[str, np.ndarray] = {}
-    for batch in slices(batches, most=2 << 20):
+    for batch in slices(batches, most=1 << 18):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         for lang in set(langs):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
@@ -118,7 +118,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=1 << 18):
             lang, p = predicted(m, batch.column("text").to_pylist(), batch.column("lettered").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lang, p], ["doc_id", "lang_pred", "score"])
 
@@ -144,6 +144,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """
     if not model.languages:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
@@ -154,6 +155,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         for at in _pieces(text):
             lang, p = predicted(shared.value, list(text.iloc[at]), list(lettered.iloc[at]))
             keep[at] = (np.array(lang.to_pylist()) != "und") & (p.to_numpy() >= least)
+        release()
         return pd.Series(keep)
 
     return docs.where(known(F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
@@ -163,7 +165,7 @@ def _pieces(text) -> Iterator[slice]:
     at, held = 0, 0
     for i, t in enumerate(text):
         held += len(t or "")
-        if held > 1 << 20:
+        if held > 1 << 18:
             yield slice(at, i + 1)
             at, held = i + 1, 0
     yield slice(at, len(text))

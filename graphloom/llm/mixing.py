@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import byte_texts, slices, stage, table
+from graphloom.llm.common import byte_texts, release, slices, stage, table
 
 BLOCK = 512
 #: Slots of an output shard, and shards at most (then shards grow).
@@ -212,11 +212,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("ranges", F.array().cast("array<struct<first:bigint,words:bigint,times:bigint>>")).alias("ranges"))
 
 
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
 def text_of(text: str | None, ranges) -> str | None:
     """The words that the mix takes of a text: runs joined, in order, as often as they are taken."""
-    import re
-
-    places = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    data = (text or "").encode("utf-8", "surrogatepass")
+    word = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)], [True]])
+    # A word begins where a blank is left and ends where one is met.
+    first, last = np.nonzero(word[:-1] & ~word[1:])[0], np.nonzero(~word[:-1] & word[1:])[0]
     passes = max((r["times"] for r in ranges), default=0)
     pieces = []
     for k in range(passes):
@@ -226,8 +230,8 @@ def text_of(text: str | None, ranges) -> str | None:
                 run[-1][1] += r["words"]
             else:
                 run.append([r["first"], r["first"] + r["words"]])
-        pieces += [text[places[a][0] : places[b - 1][1]] for a, b in run]
-    return "\n".join(pieces)
+        pieces += [data[first[a] : last[b - 1]] for a, b in run]
+    return b"\n".join(pieces).decode("utf-8", "surrogatepass")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -246,7 +250,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     def cut(text, ranges):
         import pandas as pd
 
-        return pd.Series([text_of(t, r) for t, r in zip(text, ranges, strict=True)])
+        out = pd.Series([text_of(t, r) for t, r in zip(text, ranges, strict=True)])
+        release()
+        return out
 
     left, right = turn(own), turn(taken).drop("own_order").toDF("taken_id", "taken_size", "ranges", "taken_turn")
     joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("own_size") == F.col("taken_size")) & (F.col("own_turn") == F.col("taken_turn")))

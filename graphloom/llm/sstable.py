@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import byte_texts, filesystem, fresh_dir, shuffle_parts, slices, table
+from graphloom.llm.common import bound_batches, byte_texts, filesystem, fresh_dir, shuffle_parts, slices, table
 from graphloom.llm.tokenizing import path_of, word_ids
 
 MAGIC = b"GLSST\x00\x00\x01"
@@ -188,6 +188,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end
     A file's name is new for every attempt of a task and only the attempt that succeeds reports it, so
     repeated or speculative tasks leave at most files that nothing refers to.
     """
+    bound_batches(docs.sparkSession)
     n = shards or shuffle_parts(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

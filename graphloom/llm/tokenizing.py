@@ -10,7 +10,7 @@ import os
 import re
 
 #: Entries a cache may hold before it is emptied: bounds a worker's memory.
-MOST_CACHED = 400_000
+MOST_CACHED = 200_000
 #: Pieces longer than this are encoded, not remembered.
 LONGEST_CACHED = 64
 #: What the library's regular expressions call white space.
@@ -47,10 +47,23 @@ BYTE_CHARS = {b: chr(b) for b in _SEEN} | {b: chr(256 + i) for i, b in enumerate
 _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
 
 
-class WordIds(dict):
+class Bounded(dict):
+    """A dictionary of MOST_CACHED entries at most."""
+
+    def keep(self, key, value) -> None:
+        if len(self) >= MOST_CACHED:
+            self.clear()
+            self.renewed()
+        self[key] = value
+
+    def renewed(self) -> None:
+        """What holds from the start."""
+
+
+class WordIds(Bounded):
     """Ids of white-space-separated words as little-endian unsigned bytes; for vocabularies that drop white space and case.
 
-    Two tiers: words as written, then their cores in lower case without final stops and commas. A core of
+    Holds words as written and their cores in lower case without final stops and commas. A core of
     plain letters is one pre-token, so the library's model encodes it without the steps before; other words
     go through the whole library.
     """
@@ -59,7 +72,6 @@ class WordIds(dict):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.cores: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         core = word.rstrip(b".,")
@@ -67,16 +79,14 @@ class WordIds(dict):
             out = self._core(core) + self._core(word[len(core) :])
         else:
             out = self._core(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
-                self.clear()
-            self[word] = out
+        if len(word) <= LONGEST_CACHED and word not in self:
+            self.keep(word, out)
         return out
 
     def _core(self, core: bytes) -> bytes:
         if core.isascii():
             core = core.lower()
-        out = self.cores.get(core)
+        out = self.get(core)
         if out is None:
             text = core.decode()
             if _PLAIN.fullmatch(text):
@@ -85,16 +95,14 @@ class WordIds(dict):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             out = b"".join([i.to_bytes(self.width, "little") for i in ids])
             if len(core) <= LONGEST_CACHED:
-                if len(self.cores) >= MOST_CACHED:
-                    self.cores.clear()
-                self.cores[core] = out
+                self.keep(core, out)
         return out
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
-class PieceLengths(dict):
+class PieceLengths(Bounded):
     """Token counts of pieces; ``frequent`` is the first tier, this dictionary's misses the second."""
 
     def __init__(self, path: str, frequent: dict[str, int]) -> None:
@@ -106,12 +114,12 @@ class PieceLengths(dict):
     def __missing__(self, piece: str) -> int:
         n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= LONGEST_CACHED:
-            if len(self) >= MOST_CACHED:
-                self.clear()
-                self.update(self.frequent)
-            self[piece] = n
+            self.keep(piece, n)
         return n
 
+    def renewed(self) -> None:
+        self.update(self.frequent)
+
     def count(self, text: str) -> int:
         if any(a in text for a in self.added):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
