@@ -241,10 +241,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     counted again. Rows are matched by doc_id, size and source; rows that repeat an id of the same
     size are matched one to one in a fixed order.
     """
-    names = docs.columns
-    turn = lambda df: df.withColumn("own_turn", F.row_number().over(Window.partitionBy("doc_id", "own_size").orderBy("own_order")))
-    taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id"), F.col("size").alias("own_size"), "ranges", F.xxhash64("source_size").alias("own_order"))
-    own = docs.withColumn("own_size", n_words()).withColumn("own_order", F.xxhash64(F.coalesce("source", F.lit("")), "text"))
+    names, keys = docs.columns, ["own_key", "own_null", "own_size"]
+    turn = lambda df: df.withColumn("own_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("own_order")))
+    keyed = lambda df: df.withColumn("own_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("own_null", F.col("doc_id").isNull())
+    taken = keyed(mix(docs, **options).where("taken > 0").select("doc_id", F.col("size").alias("own_size"), "ranges", F.xxhash64("source_size").alias("own_order")))
+    own = keyed(docs.withColumn("own_size", n_words()).withColumn("own_order", F.xxhash64(F.coalesce("source", F.lit("")), "text")))
 
     @F.pandas_udf("string")
     def cut(text, ranges):
@@ -254,8 +255,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         release()
         return out
 
-    left, right = turn(own), turn(taken).drop("own_order").toDF("taken_id", "taken_size", "ranges", "taken_turn")
-    joined = left.join(right, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("own_size") == F.col("taken_size")) & (F.col("own_turn") == F.col("taken_turn")))
+    # Turns are compared beside the keys, not as one of them: so both sides are dealt out as for their windows, and texts move once.
+    left, right = turn(own), turn(taken).drop("own_order", "doc_id").withColumnRenamed("own_turn", "taken_turn")
+    joined = left.join(right, keys).where(F.col("own_turn") - F.col("taken_turn") == 0)
     changed = {"text": cut("text", "ranges")}
     out = joined.withColumns(changed)
     if "n_chars" in names:
