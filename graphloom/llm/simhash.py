@@ -163,7 +163,8 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
     """
     found = stage(near_duplicates(docs, words), "groups")
     gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    out = docs.join(gone.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    # A merge join at every size: what goes grows with the documents, so it is never broadcast.
+    out = docs.join(gone.select("doc_id").distinct().hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return out
