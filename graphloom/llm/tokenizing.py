@@ -71,6 +71,7 @@ class WordIds(Bounded):
     def __init__(self, path: str) -> None:
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
     def __missing__(self, word: bytes) -> bytes:
@@ -84,7 +85,8 @@ class WordIds(Bounded):
         return out
 
     def _core(self, core: bytes) -> bytes:
-        if core.isascii():
+        # Added tokens are met as written, so lower case may not make one.
+        if core.isascii() and not any(a in core.lower() for a in self.added):
             core = core.lower()
         out = self.get(core)
         if out is None:
