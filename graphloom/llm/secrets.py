@@ -3,8 +3,8 @@
 The credentials that the base patterns find are the labelled sample. A prefix tree of each kind's
 credentials, over character classes, is folded into a probabilistic automaton: two states merge if a Hoeffding
 bound cannot tell their frequencies apart, and neither any pair of states reached from them
-(Carrasco and Oncina, 1994). Every other token that could be a credential is then scored by how much
-likelier an automaton makes its format than a model of ordinary tokens does.
+(Carrasco and Oncina, 1994). Every other run of the credentials' alphabet, of any length, is then scored by
+how much likelier an automaton makes its format than a model of ordinary runs does.
 """
 
 from __future__ import annotations
@@ -27,12 +27,17 @@ _EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else "_?" if c ==
 ASSIGN = re.compile(rf"({_EITHER})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-#: A token that may be a credential: no ordinary word, as it has a digit.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_.=-])")
+#: A run of characters that credentials are made of; stops at its ends are no part of it.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.+[A-Za-z0-9+/_=-]+)*")
 #: Labelled credentials and ordinary tokens that the automata are learnt from, about: the bound of the sample.
 MOST_SAMPLED = 2_000
-#: Longest prefix the tree keeps, significance of the merge test, and least score of a new span.
-DEPTH, ALPHA, LEAST = 48, 0.05, 12.0
+#: Significance of the merge test, and least score of a new span.
+ALPHA, LEAST = 0.05, 12.0
+#: What a format is made of, and as one symbol more its end: the class of each byte of a run, all others a blank.
+CLASSES = "dhlHU+/_.=-"
+SYMBOLS = len(CLASSES) + 1
+#: Formats up to this length are scored once and remembered; longer ones are scored each time.
+REMEMBERED = 256
 
 
 def classes(token: str) -> str:
@@ -40,6 +45,14 @@ def classes(token: str) -> str:
     return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "a" <= c <= "z" else "H" if "A" <= c <= "F" else "U" if "A" <= c <= "Z" else c for c in token)
 
 
+_CLASS_OF = "".join(classes(c) if c.isascii() and (c.isalnum() or c in CLASSES) else " " for c in map(chr, range(256))).encode()
+
+
+def formats(text: str) -> list[bytes]:
+    """Classes of every candidate of a text, in order; stops at the ends are left on."""
+    return text.encode().translate(_CLASS_OF).split()
+
+
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, credential) of the base patterns: by kind leftmost and non-overlapping, failing ones dropped."""
     out = []
@@ -60,14 +73,14 @@ class Automaton:
         self.ends: list[int] = [0]
         for word, n in sorted(sample.items()):
             at = 0
-            for c in word[:DEPTH]:
+            for c in word:
                 if c not in self.arcs[at]:
                     self.arcs[at][c] = self._new()
                 self.counts[at][c] = self.counts[at].get(c, 0) + n
                 at = self.arcs[at][c]
             self.ends[at] += n
         self._learn(alpha)
-        self.alphabet = len({c for arcs in self.arcs for c in arcs}) + 1
+        self.totals = [self.total(s) for s in range(len(self.arcs))]
 
     def _new(self) -> int:
         self.arcs.append({})
@@ -133,16 +146,13 @@ class Automaton:
                     self.arcs[a][c] = t
 
     def log_likelihood(self, word: str) -> float:
-        """Natural log of the probability of a whole format, smoothed; a way out of the automaton costs as a rare arc."""
+        """Natural log of the probability of a whole format. Every state is given one symbol more than it has seen, split
+        evenly over all classes and the end; a class without an arc costs its part of that and leaves the state as it is."""
         at, out = 0, 0.0
-        for c in word[:DEPTH]:
-            n = self.total(at) + 1.0
-            if c not in self.arcs[at]:
-                return -math.inf
-            out += math.log(self.counts[at][c] / n)
-            at = self.arcs[at][c]
-        n = self.total(at) + 1.0
-        return out + math.log((self.ends[at] + 1e-6) / n)
+        for c in word:
+            out += math.log((self.counts[at].get(c, 0) + 1 / SYMBOLS) / (self.totals[at] + 1))
+            at = self.arcs[at].get(c, at)
+        return out + math.log((self.ends[at] + 1 / SYMBOLS) / (self.totals[at] + 1))
 
 
 class Ordinary:
@@ -153,58 +163,78 @@ class Ordinary:
         self.first: Counter[str] = Counter()
         for word, n in sample.items():
             for a, b in zip("^" + word, word + "$", strict=True):
-                self.pairs[a, b] += n
-                self.first[a] += n
+                self.add(a, b, n)
+
+    def add(self, a: str, b: str, n: int) -> None:
+        self.pairs[a, b] += n
+        self.first[a] += n
 
     def log_likelihood(self, word: str) -> float:
-        return sum(math.log((self.pairs[a, b] + 0.5) / (self.first[a] + 6.0)) for a, b in zip("^" + word, word + "$", strict=True))
+        return sum(math.log((self.pairs[a, b] + 0.5) / (self.first[a] + 0.5 * SYMBOLS)) for a, b in zip("^" + word, word + "$", strict=True))
 
 
 class Grammar:
     """Automata of the labelled kinds and the ordinary model; ``score`` is a log-likelihood ratio."""
 
-    def __init__(self, labelled: dict[str, Counter[str]], ordinary: Counter[str]) -> None:
+    def __init__(self, labelled: dict[str, Counter[str]], ordinary: Counter[str] | Ordinary) -> None:
         self.automata = {kind: Automaton(sample) for kind, sample in sorted(labelled.items()) if sample}
-        self.ordinary = Ordinary(ordinary)
-        self.seen: dict[str, float] = {}
+        self.ordinary = ordinary if isinstance(ordinary, Ordinary) else Ordinary(ordinary)
+        self.seen: dict[bytes, float] = {}
 
     def score(self, token: str) -> float:
-        word = classes(token)
-        if word not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            best = max((a.log_likelihood(word) for a in self.automata.values()), default=-math.inf)
-            self.seen[word] = best - self.ordinary.log_likelihood(word[:DEPTH])
-        return self.seen[word]
+        return self.score_format(classes(token).encode())
+
+    def score_format(self, found: bytes) -> float:
+        """The score of a run's classes; stops at its ends do not count."""
+        known = self.seen.get(found)
+        if known is None:
+            word = found.strip(b".").decode()
+            known = max((a.log_likelihood(word) for a in self.automata.values()), default=-math.inf) - self.ordinary.log_likelihood(word) if word else -math.inf
+            if len(found) <= REMEMBERED:
+                if len(self.seen) > 100_000:
+                    self.seen.clear()
+                self.seen[found] = known
+        return known
 
 
 def spans(text: str, grammar: Grammar, least: float = LEAST) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets: base spans, and candidates off them that the grammar scores at ``least``."""
     base = [x[:3] for x in base_spans(text)]
-    covered = sorted(base)
     new = []
-    for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in covered) and grammar.score(m[0]) >= least:
-            new.append((m.start(), m.end(), "grammar"))
+    # Most texts have no format that scores so high: where the candidates lie is asked of the others only.
+    if grammar.automata and any(grammar.score_format(w) >= least for w in set(formats(text))):
+        for m in CANDIDATE.finditer(text):
+            if grammar.score(m[0]) >= least and not any(s < m.end() and m.start() < e for s, e, _ in base):
+                new.append((m.start(), m.end(), "grammar"))
     return sorted(base + new, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows: Counter[tuple[str, str]] = Counter()
+        plain: Counter[bytes] = Counter()
         for text in batch.column("text").to_pylist():
             if text:
                 found = base_spans(text)
-                rows.update((kind, classes(x)[:DEPTH]) for _, _, kind, x in found)
-                rows.update(("ordinary", classes(w)[:DEPTH]) for w in text.split() if w[0].isalnum())
+                rows.update((kind, classes(x)) for _, _, kind, y in found if (x := y.strip(".")))
+                if found:
+                    plain.update(classes(m[0]).encode() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _, _ in found))
+                else:
+                    plain.update(formats(text))
+        pairs = Ordinary(Counter())
+        for w, n in plain.items():
+            if word := w.strip(b".").decode():
+                for a, b in zip("^" + word, word + "$", strict=True):
+                    pairs.add(a, b, n)
+        rows.update({("ordinary", a + b): n for (a, b), n in pairs.pairs.items()})
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.string()), pa.array(list(rows.values()), pa.int64())], ["kind", "word", "n"])
 
 
 def learn(docs: DataFrame, most: int = MOST_SAMPLED) -> Grammar:
     """Automata from about ``most`` documents with labelled credentials and as many others, chosen by their id's hash.
 
-    Formats are counted in Spark; the ``most`` commonest of each kind come to the driver, ties by text.
-    No credential to learn from gives a grammar that adds no span.
+    Formats are counted in Spark; the ``most`` commonest of each kind come to the driver, ties by text. Ordinary runs,
+    those off the base spans, are counted whole as pairs of classes. No credential to learn from gives a grammar that adds no span.
     """
     marked = docs.select("doc_id", "text", F.col("text").rlike(r"AKIA[A-Z0-9]{12}|[0-9a-f]{32}|(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]").alias("marked"))
     sizes = {r["marked"]: r["n"] for r in marked.groupBy("marked").agg(F.count("*").alias("n")).collect()}
@@ -212,10 +242,12 @@ def learn(docs: DataFrame, most: int = MOST_SAMPLED) -> Grammar:
     some = marked.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)) & F.col("text").isNotNull())
     words = stage(some.select("text").mapInArrow(_labelled, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "formats")
     labelled: dict[str, Counter[str]] = {}
-    for kind in (*KINDS[:3], "ordinary"):
+    for kind in KINDS[:3]:
         for r in words.where(F.col("kind") == kind).orderBy(F.desc("n"), "word").limit(most).collect():
             labelled.setdefault(kind, Counter())[r["word"]] = r["n"]
-    ordinary = labelled.pop("ordinary", Counter())
+    ordinary = Ordinary(Counter())
+    for r in words.where("kind = 'ordinary'").collect():
+        ordinary.add(*r["word"], r["n"])
     return Grammar(labelled, ordinary)
 
 

@@ -540,6 +540,46 @@ def test_grammar_tells_formats():
     assert len(reach) < len(a.arcs) / 5
 
 
+def test_grammar_takes_every_run_whole():
+    r = random.Random(6)
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    mixed, letters = "0123456789uvwxyzUV", "abcdefghijklmnopqrstuvwxyz"
+    makers = {
+        "stop": lambda: "ghp_" + some(mixed, 24),
+        "dotted": lambda: "SG." + some(mixed, 22) + "." + some(mixed, 40),
+        "long": lambda: "v1-" + some(mixed, 200),
+        "no digit": lambda: "key_" + some("ABCDEFGHIJ", 20),
+        "short": lambda: "Z/" + some("0123456789", 9),
+    }
+    words = Counter(secrets.classes(some(letters, r.randrange(2, 12))) for _ in range(3000)) + Counter({"lll.lllll.lll": 40, "dddd-dd-dd": 40, "l.l": 40})
+    for name, key in makers.items():
+        g = secrets.Grammar({"assign": Counter(secrets.classes(key()) for _ in range(300))}, words)
+        x = key()
+        text = f"Send it with {x}. Then www.graph.org, é({x}) on 2024-01-01... information"
+        assert secrets.spans(text, g) == [(i, i + len(x), "grammar") for i in (13, text.rindex(x))], name
+    # What follows the first 48 classes counts, and one class never seen costs no more than a rare arc.
+    g = secrets.Grammar({"assign": Counter(secrets.classes(makers["long"]()) for _ in range(300))}, words)
+    x = makers["long"]()
+    assert g.score(x) > g.score(x[:100]) and g.score(x) > g.score(x[:60] + some("XYZ", 143))
+    assert secrets.LEAST <= g.score(x[:20] + "_" + x[20:]) < g.score(x)
+
+
+def test_learning_reads_whole_credentials(spark):
+    r = random.Random(7)
+    keys = ["".join(r.choice("ABCDEFG0123456789") for _ in range(40)) + "." + "".join(r.choice("ghijkl") for _ in range(40)) for _ in range(40)]
+    texts = [f"the token: {k}." for k in keys] + ["plain words of www.graph.org and more text, in 3 lines"] * 40
+    g = secrets.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "." in {c for arcs in g.automata["assign"].arcs for c in arcs}
+    a, reach, todo = g.automata["assign"], {0}, [0]
+    while todo:
+        new = set(a.arcs[todo.pop()].values()) - reach
+        reach |= new
+        todo += new
+    assert sum(a.counts[s].get("l", 0) for s in reach) == 40 * 40
+    x = keys[0]
+    assert secrets.spans(f"see {x}. and www.graph.org", g) == [(4, 4 + len(x), "grammar")]
+
+
 # pipeline
 
 
