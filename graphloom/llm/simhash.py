@@ -81,7 +81,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.
             parts.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
         lengths = np.array(lengths)
         fp = fingerprint_of(np.concatenate(parts), np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        own = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(fp.view(np.int64))], [*own, "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -156,21 +157,30 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their group, with all their columns.
+    """One row of each group of linked fingerprints, with all its columns: that of the smallest doc_id.
 
-    Of rows that share a doc_id one stays. Rows with a null doc_id stay only if no other row of
-    their group has an id.
+    Groups are of fingerprints, so ids may repeat or be null: rows without an id come last, and of different texts of
+    one id that of the smallest hash is first. Of rows alike in both id and text one stays.
     """
-    found = stage(near_duplicates(docs, words), "groups")
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    # A merge join at every size: what goes grows with the documents, so it is never broadcast.
-    out = docs.join(gone.select("doc_id").distinct().hint("merge"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    repeated = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if repeated.isEmpty():
-        return out
-    same = docs["doc_id"].eqNullSafe(repeated["doc_id"])
-    # Only rows of ids that occur again are dealt out by id.
-    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    mine = "text_hash_" + "_" * max(map(len, docs.columns))  # no column of docs
+    keyed = docs.withColumn(mine, F.xxhash64("text"))
+    read = keyed.select(F.col("doc_id").cast("long"), "text", F.col(mine).alias("text_hash"))
+    fps = stage(read.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, text_hash long, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
+    distinct = stage(fps.groupBy("fp").agg(first), "distinct")
+    # Ids may be shared by fingerprints or missing, so a fingerprint is its own representative.
+    roots = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
+    groups = distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = stage(groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "kept")
+    same = lambda rows: keyed["doc_id"].eqNullSafe(rows["doc_id"]) & (keyed[mine] == rows["text_hash"])
+    # A merge join at every size: what stays grows with the documents, so it is never broadcast.
+    out = keyed.join(kept.hint("merge"), same(kept), "left_semi")
+    repeated = fps.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash")
+    repeated = stage(repeated.join(kept, repeated["doc_id"].eqNullSafe(kept["doc_id"]) & (repeated["text_hash"] == kept["text_hash"]), "left_semi"), "repeated")
+    if not repeated.isEmpty():
+        # Only rows that occur again are dealt out by id and text.
+        out = out.join(repeated, same(repeated), "left_anti").unionByName(out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", mine]))
+    return out.drop(mine)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,6 +180,35 @@ def test_simhash_odd_rows(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_first(none).count() == 0
 
 
+def test_keep_first_decides_by_row(spark):
+    r = random.Random(9)
+    texts = {}
+    # Fingerprints of few words differ in far more than two bits.
+    for x in "ABCDE":
+        texts[x] = " ".join(f"{x}{r.randrange(10**6)}" for _ in range(30))
+    texts["A2"] = texts["A"].replace(" ", "  ").upper()  # the same words: the same fingerprint
+    long = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    near = [" ".join(long), " ".join([*long, "end"])]
+    bits = simhash.near_duplicates(spark.createDataFrame([(1, near[0]), (2, near[1])], "doc_id long, text string")).collect()
+    assert bits[0]["fingerprint"] != bits[1]["fingerprint"] and bits[0]["component_id"] == bits[1]["component_id"]
+
+    def kept(rows):
+        out = simhash.keep_first(spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], "doc_id long, text string, row int"))
+        assert out.columns == ["doc_id", "text", "row"]
+        return sorted(((x["doc_id"], x["text"]) for x in out.collect()), key=str)
+
+    t = texts
+    # An id is kept for one text and lost for another.
+    assert kept([(5, t["A"]), (7, t["A"]), (5, t["B"]), (3, t["B"])]) == sorted([(5, t["A"]), (3, t["B"])], key=str)
+    # A null-id copy takes no other null-id row with it; different texts without an id all stay.
+    assert kept([(1, t["A"]), (None, t["A2"]), (None, t["B"]), (None, t["C"]), (None, t["C"])]) == sorted([(1, t["A"]), (None, t["B"]), (None, t["C"])], key=str)
+    # Different texts that share an id stay, and equal rows stay once.
+    assert kept([(4, t["D"]), (4, t["E"]), (4, t["E"])]) == sorted([(4, t["D"]), (4, t["E"])], key=str)
+    # Near copies without an id, or with one and the same id, are one group.
+    assert len(kept([(None, near[0]), (None, near[1])])) == 1 and len(kept([(8, near[0]), (8, near[1])])) == 1
+    assert kept([(None, near[0]), (9, near[1])]) == [(9, near[1])]
+
+
 # 3 neighbours
 
 
