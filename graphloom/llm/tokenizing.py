@@ -6,11 +6,13 @@ remembered. Texts that hold an added token's string go to the library whole.
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 
-#: Entries a cache may hold before it is emptied: bounds a worker's memory.
-MOST_CACHED = 200_000
+#: Entries of each of a cache's two generations: bounds a worker's memory.
+MOST_CACHED = 250_000
 #: Pieces longer than this are encoded, not remembered.
 LONGEST_CACHED = 64
 #: What the library's regular expressions call white space.
@@ -48,17 +50,19 @@ _PLAIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
 
 
 class Bounded(dict):
-    """A dictionary of MOST_CACHED entries at most."""
+    """A dictionary in two generations of MOST_CACHED entries at most: when the younger is full it becomes the elder, and
+    what is asked for again moves back, so that entries in use are never lost all at once."""
+
+    def __init__(self, *start) -> None:
+        super().__init__(*start)
+        self.elder: dict = {}
 
     def keep(self, key, value) -> None:
         if len(self) >= MOST_CACHED:
+            self.elder = dict(self)
             self.clear()
-            self.renewed()
         self[key] = value
 
-    def renewed(self) -> None:
-        """What holds from the start."""
-
 
 class WordIds(Bounded):
     """Ids of white-space-separated words as little-endian unsigned bytes; for vocabularies that drop white space and case.
@@ -69,41 +73,57 @@ class WordIds(Bounded):
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: No word without what all added tokens begin with holds one.
+        self.mark = os.path.commonprefix([t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]) or b""
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.code = "H" if self.width == 2 else "I"
 
     def __missing__(self, word: bytes) -> bytes:
-        core = word.rstrip(b".,")
-        if core[-1:].isalnum() and len(core) < len(word):
-            out = self._core(core) + self._core(word[len(core) :])
-        else:
-            out = self._core(word)
-        if len(word) <= LONGEST_CACHED and word not in self:
+        out = self.elder.get(word)
+        if out is None:
+            core = word.rstrip(b".,")
+            if not core[-1:].isalnum():  # a stop may belong to a run of other marks
+                core = word
+            # Added tokens are met as written, so lower case may not make one.
+            low = core.isalpha() or (core.isascii() and self.mark not in core)
+            out = self._core(core.lower() if low else core)
+            if len(core) < len(word):
+                out += self._core(word[len(core) :])
+        if len(word) <= LONGEST_CACHED:
             self.keep(word, out)
         return out
 
     def _core(self, core: bytes) -> bytes:
-        # Added tokens are met as written, so lower case may not make one.
-        if core.isascii() and not any(a in core.lower() for a in self.added):
-            core = core.lower()
         out = self.get(core)
-        if out is None:
+        if out is not None or (out := self.elder.get(core)) is not None:
+            return out
+        if core.isalpha():
+            ids = [t.id for t in self.model.tokenize(core.decode())]
+        else:
             text = core.decode()
             if _PLAIN.fullmatch(text):
                 ids = [t.id for t in self.model.tokenize("".join([BYTE_CHARS[b] for b in text.lower().encode()]))]
             else:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            out = b"".join([i.to_bytes(self.width, "little") for i in ids])
-            if len(core) <= LONGEST_CACHED:
-                self.keep(core, out)
+        out = _little(self.code, ids)
+        if len(core) <= LONGEST_CACHED:
+            self.keep(core, out)
         return out
 
     def encode(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
+def _little(code: str, ids: list[int]) -> bytes:
+    out = array.array(code, ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceLengths(Bounded):
     """Token counts of pieces; ``frequent`` is the first tier, this dictionary's misses the second."""
 
@@ -114,14 +134,13 @@ class PieceLengths(Bounded):
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        n = self.elder.get(piece) or self.frequent.get(piece)
+        if n is None:
+            n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
         if len(piece) <= LONGEST_CACHED:
             self.keep(piece, n)
         return n
 
-    def renewed(self) -> None:
-        self.update(self.frequent)
-
     def count(self, text: str) -> int:
         if any(a in text for a in self.added):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
