@@ -25,11 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import bloom
 from graphloom.llm.common import slices, stage, table
 
-#: The filter of shared half-line keys: bits (a power of two, 16 MB) of a Bloom filter with two probes. When
-#: it fills up, more lines emit neighbourhoods; the result stays exact.
-FILTER_BITS = 1 << 27
 _P = (np.uint64(2147483647), np.uint64(2147483629))
 _B = (1103515245, 69069069)
 LINES = "doc_id long, row long, line_no int, hi long, lo long, keys array<long>"
@@ -66,29 +64,10 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "row", "line_no", "hi", "lo", "keys"])
 
 
-def _probes(keys: np.ndarray) -> np.ndarray:
-    k = keys.view(np.uint64)
-    return np.stack([k >> np.uint64(37), (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(37)], -1).astype(np.int64)
-
-
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        p = _probes(batch.column("key").to_numpy(zero_copy_only=False)).ravel()
-        word, bit = p >> 6, np.uint64(1) << (p & 63).astype(np.uint64)
-        order = np.argsort(word, kind="stable")
-        word, bit = word[order], bit[order]
-        if len(word):
-            first = np.nonzero(np.concatenate([[True], word[1:] != word[:-1]]))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int32)), pa.array(np.bitwise_or.reduceat(bit, first).view(np.int64))], ["word", "bits"])
-
-
 def shared_filter(distinct: DataFrame) -> np.ndarray:
-    """Bloom filter, FILTER_BITS wide at any input size, of half-line keys that several lines share."""
-    keys = distinct.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    got = keys.mapInArrow(_words, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    return out
+    """Bloom filter of half-line keys that several lines share."""
+    keys = distinct.select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return bloom.build(keys)
 
 
 def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -97,9 +76,7 @@ def _passing(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa
         seen = list({line: None for text in batch.column("text").to_pylist() for _, line in lines_of(text)})
         if not seen:
             continue
-        p = _probes(np.array([half_keys(x) for x in seen], np.int64))
-        # The two halves of a pair are of one form: prefix or suffix, shorter or longer.
-        inside = ((bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1)).all(-1).any(-1)
+        inside = bloom.inside(bits, np.array([half_keys(x) for x in seen], np.int64)).any(-1)
         out = [x for x, y in zip(seen, inside, strict=True) if y]
         ids = [line_id(x.encode("utf-8", "surrogatepass")) for x in out]
         yield pa.RecordBatch.from_arrays([pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64()), pa.array(out, pa.string())], ["hi", "lo", "line"])

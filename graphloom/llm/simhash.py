@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.llm import bloom
 from graphloom.llm.common import byte_texts, slices, stage, table
 from graphloom.llm.components import components
 
@@ -160,27 +161,40 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
     """One row of each group of linked fingerprints, with all its columns: that of the smallest doc_id.
 
     Groups are of fingerprints, so ids may repeat or be null: rows without an id come last, and of different texts of
-    one id that of the smallest hash is first. Of rows alike in both id and text one stays.
+    one id that of the smallest hash is first. Of rows alike in both id and text one stays. Texts do not move: rows that a
+    filter of fixed size tells to be neither dropped nor repeated stay where they are, and the others alone are joined.
     """
-    mine = "text_hash_" + "_" * max(map(len, docs.columns))  # no column of docs
-    keyed = docs.withColumn(mine, F.xxhash64("text"))
-    read = keyed.select(F.col("doc_id").cast("long"), "text", F.col(mine).alias("text_hash"))
-    fps = stage(read.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, text_hash long, fp long"), "fingerprints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first")
+    # Columns go by their place on the way, so that none can clash with another.
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    doc_id, text = own[names.index("doc_id")], own[names.index("text")]
+    keyed = docs.toDF(*own).withColumns({"id": F.col(doc_id).cast("long"), "text_hash": F.xxhash64(text, F.col(text).isNull())})
+    fps = stage(keyed.select("id", F.col(text).alias("text"), "text_hash").mapInArrow(lambda it: _fingerprints(it, words), "id long, text_hash long, fp long"), "fingerprints")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash")).alias("first")
     distinct = stage(fps.groupBy("fp").agg(first), "distinct")
     # Ids may be shared by fingerprints or missing, so a fingerprint is its own representative.
     roots = components(links(distinct.select("fp", F.col("fp").alias("rep"))))
     groups = distinct.join(roots, distinct["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = stage(groups.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "kept")
-    same = lambda rows: keyed["doc_id"].eqNullSafe(rows["doc_id"]) & (keyed[mine] == rows["text_hash"])
-    # A merge join at every size: what stays grows with the documents, so it is never broadcast.
-    out = keyed.join(kept.hint("merge"), same(kept), "left_semi")
-    repeated = fps.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_hash")
-    repeated = stage(repeated.join(kept, repeated["doc_id"].eqNullSafe(kept["doc_id"]) & (repeated["text_hash"] == kept["text_hash"]), "left_semi"), "repeated")
+    kept = groups.select(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"), F.lit(True).alias("stays"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["text_hash"] == b["text_hash"])
+    seen = fps.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    marked = seen.join(kept, same(seen, kept), "left").where("stays is null or n > 1")
+    marked = stage(marked.select(seen["id"], seen["text_hash"], F.coalesce("stays", F.lit(False)).alias("stays")), "marked")
+    key = F.xxhash64("id", "text_hash")
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(marked.select(key.alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def met(key):
+        import pandas as pd
+
+        return pd.Series(bloom.inside(bits.value, key.to_numpy(np.int64)))
+
+    asked = keyed.withColumn("met", met(key))
+    some = asked.where("met")
+    out = asked.where("not met").unionByName(some.join(marked, same(some, marked), "left_anti"))
+    repeated = marked.where("stays")
     if not repeated.isEmpty():
-        # Only rows that occur again are dealt out by id and text.
-        out = out.join(repeated, same(repeated), "left_anti").unionByName(out.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", mine]))
-    return out.drop(mine)
+        out = out.unionByName(some.join(repeated, same(some, repeated), "left_semi").dropDuplicates(["id", "text_hash"]))
+    return out.select(*own).toDF(*names)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
