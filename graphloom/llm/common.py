@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 _LOCAL: dict[str, str] = {}
 
 
-#: Rows of an Arrow batch of texts, unless the session sets its own number.
-BATCH_ROWS, _ROWS_SETTING, _ROWS_DEFAULT = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Rows and bytes of an Arrow batch of texts (one row may be more), unless the session sets its own number.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let the session's Arrow batches hold BATCH_ROWS rows at most: a batch of whole texts is held several times over on its way
+    """Bound the session's Arrow batches as BATCH says: a batch of whole texts is held several times over on its way
     through a Python worker. Another number than Spark's default stays."""
-    if spark.conf.get(_ROWS_SETTING, _ROWS_DEFAULT) == _ROWS_DEFAULT:
-        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    for name, (default, own) in BATCH.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

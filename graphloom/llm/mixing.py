@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from graphloom.llm.common import byte_texts, release, slices, stage, table
+from graphloom.llm.common import byte_texts, slices, stage, table
 
 BLOCK = 512
-#: Slots of an output shard, and shards at most (then shards grow).
-SHARD, MOST_SHARDS = 1024, 1024
+#: Slots of an output shard, shards at most, and ranges (a source in a shard) that the driver plans at most: then shards grow.
+SHARD, MOST_SHARDS, MOST_RANGES = 1024, 1024, 1 << 18
 #: Sources that a mix may have: the driver plans them, and their plan is broadcast.
 MOST_SOURCES = 4096
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -30,18 +31,26 @@ SHARE, CAP = 1.5, 2.0
 SEED = 17
 #: Documents of a bucket of the running sums, about, and buckets of a larger one.
 BUCKET, FAN = 256, 1024
+#: Rows alike in every way that are joined to their text in one place.
+ALIKE = 1024
+#: A row's name (rows that are alike in it are interchangeable), and what rows are put in order by.
+KEY, MARK = ["key_high", "key_low"], "mark"
 
 
-def n_words(text: str = "text"):
-    """Runs of anything but ASCII white space."""
-    trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+def keyed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``docs`` with KEY, a 128-bit hash of all ``columns``, and MARK, a hash of the first three."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    own = [F.to_json(F.struct(c)) if "map<" in kinds[c] else F.col(c) for c in columns]
+    # A null is skipped by the hash, so what is null is hashed too.
+    nulls = [x.isNull() for x in own]
+    return docs.withColumns({k: F.xxhash64(F.lit(i), *own, *nulls) for i, k in enumerate(KEY)} | {MARK: F.xxhash64(*own[:3], *nulls[:3])})
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         n = [len(x.split()) for x in byte_texts(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], ["doc_id", "source", "size"])
+        own = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(n, pa.int64())], [*own, "size"])
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -127,7 +136,7 @@ def deal(sources: list[Source], seed: int = SEED) -> Iterator[tuple[int, int, in
     has left; the last shard gets the rest."""
     left = np.array([sum(n for n, _ in s.passes) for s in sources], np.int64)
     used = np.zeros(len(sources), np.int64)
-    size = max(SHARD, -(-int(left.sum()) // MOST_SHARDS))
+    size = max(SHARD, -(-int(left.sum()) // max(1, min(MOST_SHARDS, MOST_RANGES // max(1, len(sources))))))
     shard = 0
     while total := int(left.sum()):
         want = min(size, total)
@@ -174,16 +183,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     ``ranges`` are the words taken as structs (first, words, times) of the document's words. Sources are ordered by
     code point, null last (its own source). Null and empty texts have size 0 and are not taken. Repeated
     rows and null ids are rows like others. All sizes 0 give targets 0. Reruns agree: every draw depends on the seed
-    and on the rows alone. More than MOST_SOURCES sources are an error. Only (id, source, size) rows are
-    shuffled, no text; sources hold any share of rows, as running sums and joins go by buckets and blocks.
+    and on the rows alone. More than MOST_SOURCES sources are an error. Only (id, source, size, key) rows are
+    shuffled, no text; one source, one id or copies of one row may be any share of all rows, as running sums and joins go
+    by buckets and blocks, and copies of a row are numbered and dealt to buckets by that number.
     """
+    return _mixed_rows(keyed(docs, ["doc_id", "source", "text"]), weights, share, cap, block, seed).drop("row", *KEY)
+
+
+def _mixed_rows(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """``mix`` of rows that have a KEY and a MARK, with the row's number and its KEY."""
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    sized = docs.select(F.col("doc_id").cast("long"), "source", *KEY, MARK, "text").mapInArrow(_sizes, "doc_id long, source string, key_high long, key_low long, mark long, size long")
     sized = stage(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
-    out = "doc_id long, size long, source_size long, target double, taken long, ranges array<struct<first:long,words:long,times:long>>"
+    out = "doc_id long, size long, source_size long, target double, taken long, ranges array<struct<first:long,words:long,times:long>>, row long, key_high long, key_low long"
     if not sums:
         return spark.createDataFrame([], out)
     sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -191,9 +206,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources = [plan_source(i, r["source"], r["s"], t, block, seed) for i, (r, t) in enumerate(zip(sums, wanted, strict=True))]
     listed = F.broadcast(spark.createDataFrame([(s.sid, s.name, s.size, float(s.target)) for s in sources], "sid long, name string, source_size long, target double"))
     buckets = max(1, -(-sum(r["n"] for r in sums) // BUCKET))
-    # Rows that are alike in every way are interchangeable; a number tells them apart.
-    rows = sized.join(listed, sized["source"].eqNullSafe(listed["name"])).withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(buckets)))
-    rows = stage(_running(rows.select("doc_id", "size", "source_size", "target", "sid", "bucket"), "size", ["doc_id", "size"], "start").withColumn("row", F.monotonically_increasing_id()), "placed")
+    # Rows that are alike in every way are interchangeable: they are counted, then numbered.
+    rows = sized.groupBy("doc_id", "source", "size", MARK, *KEY).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows = rows.join(listed, rows["source"].eqNullSafe(listed["name"])).withColumn("bucket", F.pmod(F.xxhash64(MARK, "copy", F.lit(seed)), F.lit(buckets)))
+    placed = _running(rows.select("doc_id", "size", "source_size", "target", "sid", "bucket", "copy", MARK, *KEY), "size", ["doc_id", MARK, *KEY, "copy"], "start")
+    rows = stage(placed.drop("copy", MARK).withColumn("row", F.monotonically_increasing_id()), "placed")
 
     plans = spark.sparkContext.broadcast({s.sid: s for s in sources})
     dealt = spark.createDataFrame(list(deal(sources, seed)), "shard long, sid long, first long, n long").repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, 64)))
@@ -209,7 +226,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     met = met.select("row", (first - F.col("start")).alias("first"), (last - first).alias("words")).where("words > 0")
     met = met.groupBy("row", "first", "words").agg(F.count("*").alias("times"))
     got = met.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("ranges"))
-    return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("ranges", F.array().cast("array<struct<first:bigint,words:bigint,times:bigint>>")).alias("ranges"))
+    none = F.array().cast("array<struct<first:bigint,words:bigint,times:bigint>>")
+    return rows.join(got, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("ranges", none).alias("ranges"), "row", *KEY)
 
 
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -238,31 +256,36 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: all columns, a row for each document of which the mix takes words, with those words as its text.
 
     Words taken twice are in the text twice; a document that is not taken has no row. n_chars, if there is such a column, is
-    counted again. Rows are matched by doc_id, size and source; rows that repeat an id of the same
-    size are matched one to one in a fixed order.
+    counted again. A row is named by a hash of all its columns, so rows of one id, of any sources and texts, are told
+    apart. Rows alike in all columns are interchangeable: as many of them are kept as are taken, each with its own words. Texts
+    move once, to be joined; of rows that repeat one text for each ALIKE copies.
     """
-    names, keys = docs.columns, ["own_key", "own_null", "own_size"]
-    turn = lambda df: df.withColumn("own_turn", F.row_number().over(Window.partitionBy(*keys).orderBy("own_order")))
-    keyed = lambda df: df.withColumn("own_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("own_null", F.col("doc_id").isNull())
-    taken = keyed(mix(docs, **options).where("taken > 0").select("doc_id", F.col("size").alias("own_size"), "ranges", F.xxhash64("source_size").alias("own_order")))
-    own = keyed(docs.withColumn("own_size", n_words()).withColumn("own_order", F.xxhash64(F.coalesce("source", F.lit("")), "text")))
-
-    @F.pandas_udf("string")
-    def cut(text, ranges):
-        import pandas as pd
-
-        out = pd.Series([text_of(t, r) for t, r in zip(text, ranges, strict=True)])
-        release()
-        return out
-
-    # Turns are compared beside the keys, not as one of them: so both sides are dealt out as for their windows, and texts move once.
-    left, right = turn(own), turn(taken).drop("own_order", "doc_id").withColumnRenamed("own_turn", "taken_turn")
-    joined = left.join(right, keys).where(F.col("own_turn") - F.col("taken_turn") == 0)
-    changed = {"text": cut("text", "ranges")}
-    out = joined.withColumns(changed)
+    # Columns go by their place on the way, so that none can clash with another.
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at = {n: own[names.index(n)] for n in ("doc_id", "source", "text")}
+    whole = keyed(docs.toDF(*own), [*at.values(), *(c for c in own if c not in at.values())])
+    rows = stage(_mixed_rows(whole.select(*KEY, MARK, *(F.col(c).alias(n) for n, c in at.items())), **options).select("row", "taken", "ranges", *KEY), "mixed")
+    taken = rows.where("taken > 0").drop("taken")
+    again = stage(rows.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1"), "again")
+    joined = whole.join(taken.drop("row"), KEY)
+    if not again.isEmpty():
+        parts = F.floor(F.col("n") / ALIKE) + 1
+        once = whole.join(again, KEY, "left_anti").join(taken.drop("row"), KEY)
+        texts = whole.join(again, KEY, "left_semi").dropDuplicates(KEY).join(again, KEY).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+        copies = taken.join(again, KEY).select(*KEY, "ranges", F.pmod("row", parts).alias("part"))
+        joined = once.unionByName(texts.join(copies, [*KEY, "part"]).drop("part"))
+    text, rest = at["text"], [StructField(c, f.dataType) for c, f in zip(own, docs.schema.fields, strict=True) if c != at["text"]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            out = [text_of(t, r) for t, r in zip(batch.column(text).to_pylist(), batch.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(out, pa.string())], [*(f.name for f in rest), text])
+
+    out = joined.select(*own, "ranges").mapInArrow(cut, StructType([*rest, StructField(text, StringType())]))
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        k = names.index("n_chars")
+        out = out.withColumn(own[k], F.length(text).cast(docs.schema.fields[k].dataType))
+    return out.select(*own).toDF(*names)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from math import log10
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from graphloom.llm import decontaminate, kneserney, langid, linededup, mixing, neighbours, secrets, simhash, sstable, tokencount
@@ -345,6 +346,39 @@ def test_mixing_odd_rows(odd, none):
         assert {r["source_size"] for r in own} == {sum(r["size"] for r in own)}
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.5
     assert mixing.mixed(odd).columns == odd.columns and mixing.mix(none).count() == 0 and mixing.mixed(none).count() == 0
+    clash = odd.withColumns({"key_high": F.lit("x"), "ranges": F.lit(1), "mark": F.lit(None).cast("int"), "c0": F.create_map(F.lit("k"), F.lit(1))})
+    assert sorted(map(str, mixing.mixed(clash).drop("key_high", "ranges", "mark", "c0").collect())) == sorted(map(str, mixing.mixed(odd).collect()))
+
+
+def test_mixed_tells_rows_apart(spark, monkeypatch):
+    """Rows of one id in two sources, unlike texts of one id, null ids and many equal rows: each keeps its own words."""
+    monkeypatch.setattr(mixing, "ALIKE", 7)
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    data = [(i, words(f"a{i}x", 10), "a") for i in range(8)] + [(i, words(f"b{i}x", 10), "b") for i in range(8)]
+    data += [(None, words("n1x", 10), "a"), (None, words("n2x", 10), "b"), (3, words("other", 10), "a")] + [(5, words("same", 10), "b")] * 100
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    options = {"block": 4, "weights": (0.0, 1.0), "share": 0.6}
+    plan = mixing.mix(docs, **options).collect()
+    out = mixing.mixed(docs, **options).collect()
+    # Source a has weight 0, so nothing of it is taken.
+    assert {r["source"] for r in out} == {"b"} and len(out) == sum(r["taken"] > 0 for r in plan)
+    assert sorted(len(r["text"].split()) for r in out) == sorted(r["taken"] for r in plan if r["taken"])
+    assert all(w.startswith(f"b{r['doc_id']}x") or (w.startswith("same") and r["doc_id"] == 5) or (w.startswith("n2x") and r["doc_id"] is None) for r in out for w in r["text"].split())
+    size = {(r["doc_id"], r["source"]): 0 for r in out}
+    for r in out:
+        size[r["doc_id"], r["source"]] += len(r["text"].split())
+    want = Counter()
+    for r in plan:
+        want[r["doc_id"]] += r["taken"]
+    assert {d: n for (d, _), n in size.items()} == {d: n for d, n in want.items() if n}
+
+
+def test_mix_deals_equal_rows(spark, monkeypatch):
+    """Copies of one row, or null ids, fill no bucket of the running sums alone."""
+    monkeypatch.setattr(mixing, "BUCKET", 8)
+    docs = spark.createDataFrame([(None, "one two three", "a")] * 200, "doc_id long, text string, source string")
+    got = mixing.mix(docs, block=16).collect()
+    assert len(got) == 200 and sum(r["taken"] for r in got) == 900 and max(r["taken"] for r in got) <= 6
 
 
 # 6 decontamination
