@@ -19,6 +19,8 @@ MOST_SAMPLED = 3_000
 #: Languages that a model may have. With BUCKETS it bounds the broadcast matrix (32 MB).
 MOST_LANGUAGES = 256
 SMOOTHING = 0.5
+#: Characters of a piece of a text, and numbers of the weights gathered at once (16 MB).
+PIECE, GATHERED = 1 << 13, 1 << 22
 OUT = "doc_id long, lang_pred string, score double"
 
 
@@ -29,32 +31,57 @@ class Model:
     weights: np.ndarray  # log P(bucket | language), (BUCKETS, languages) float32
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut into pieces of PIECE characters at most, before a blank if there is one. No n-gram crosses a cut."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        cut = text.rfind(" ", at + 1, at + PIECE)
+        out.append(text[at : (at := cut if cut > 0 else at + PIECE)])
+    return [*out, text[at:]]
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all n-grams of lower-cased texts, side by side, and where each text's begin.
 
-    Runs of letters are kept; anything else is one blank, so digits and marks are no evidence.
+    Runs of letters are kept; anything else is one blank, so digits and marks are no evidence. A text begins and ends with
+    a blank. Each place has LONGEST n-grams; those that would reach beyond the text repeat the single one.
     """
-    codes = np.frombuffer("\n".join(["", *texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    breaks = np.concatenate([[0], np.cumsum([len(t.lower()) + 1 for t in texts])]).astype(np.int64)
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer("".join([f"\n{t}\n" for t in low]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 2 for t in low])]).astype(np.int64)
     high = codes >= 128
     letter = ((codes >= 97) & (codes <= 122)) | (high & (codes != 0xA0) & ~((codes >= 0x2000) & (codes < 0x2070)) & ~((codes >= 0xA1) & (codes < 0xC0)))
     x = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
-    blank = (x[1:] == 32) & (x[:-1] == 32)
     keep = np.ones(len(x), bool)
-    keep[1:] = ~blank
-    keep[breaks] = True  # a text begins and ends with a blank of its own
-    starts = np.cumsum(keep)[breaks] - 1
+    keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+    keep[begins[:-1]] = True
+    starts = np.concatenate([[0], np.cumsum(keep)])[begins]
     x = x[keep]
-    grams = []
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(x))  # places to the end of the own text
+    out = np.empty((len(x), LONGEST), np.int32)
     h = np.zeros(len(x), np.uint64)
     for n in range(1, LONGEST + 1):
-        tail = x[n - 1 :] if n > 1 else x
-        h = h[: len(tail)] * np.uint64(0x100000001B3) + tail + np.uint64(n)
-        g = h * np.uint64(0x9E3779B97F4A7C15)
-        grams.append((g >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int32))
-    # All n-grams that begin at a place are put side by side; those past the end repeat the single one.
-    full = np.stack([np.concatenate([g, grams[0][len(g) :]]) for g in grams], 1)
-    return full[: starts[-1]].ravel(), starts[:-1] * LONGEST
+        tail = np.concatenate([x[n - 1 :], np.zeros(min(n - 1, len(x)), np.uint64)])
+        h = h * np.uint64(0x100000001B3) + tail + np.uint64(n)
+        out[:, n - 1] = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKETS.bit_length() + 1)
+        if n > 1:
+            out[:, n - 1] = np.where(left >= n, out[:, n - 1], out[:, 0])
+    return out.ravel(), starts[:-1] * LONGEST
+
+
+def _grouped(texts: list[str], most: int) -> Iterator[tuple[list[str], list[int]]]:
+    """Pieces of texts with the number of the text they are of, in groups of ``most`` characters, or one piece."""
+    held, own, n = [], [], 0
+    for i, t in enumerate(texts):
+        for x in pieces(t):
+            if held and n + len(x) > most:
+                yield held, own
+                held, own, n = [], [], 0
+            held.append(x)
+            own.append(i)
+            n += len(x)
+    if held:
+        yield held, own
 
 
 def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +92,8 @@ def counts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in set(langs):
             own = [t for t, x in zip(texts, langs, strict=True) if x == lang]
             sums = held.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
-            sums[:BUCKETS] += np.bincount(features(own)[0], minlength=BUCKETS)
+            for group, _ in _grouped(own, GATHERED // LONGEST):
+                sums[:BUCKETS] += np.bincount(features(group)[0], minlength=BUCKETS)
             sums[BUCKETS] += len(own)
     for lang, sums in held.items():
         at = np.nonzero(sums)[0]
@@ -99,10 +127,13 @@ def fit(docs: DataFrame, most: int = MOST_SAMPLED) -> Model:
 def score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(index of the likeliest language, its posterior probability) of each text.
 
-    A batch is a sparse matrix of buckets by rows; its product with the weights is a sum of gathered rows.
+    A batch is a sparse matrix of buckets by rows; its product with the weights is a sum of gathered rows, taken by pieces
+    of texts, so that GATHERED numbers or those of one piece are gathered at once.
     """
-    index, starts = features(texts)
-    total = np.add.reduceat(model.weights[index], starts, axis=0, dtype=np.float64) + model.prior
+    total = np.tile(model.prior.astype(np.float64), (len(texts), 1))
+    for group, own in _grouped(texts, GATHERED // (LONGEST * len(model.languages))):
+        index, starts = features(group)
+        np.add.at(total, own, np.add.reduceat(model.weights[index], starts, axis=0, dtype=np.float64))
     total -= total.max(1, keepdims=True)
     p = np.exp(total)
     best = p.argmax(1)
@@ -152,7 +183,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         import pandas as pd
 
         keep = np.zeros(len(text), bool)
-        for at in _pieces(text):
+        for at in _runs(text):
             lang, p = predicted(shared.value, list(text.iloc[at]), list(lettered.iloc[at]))
             keep[at] = (np.array(lang.to_pylist()) != "und") & (p.to_numpy() >= least)
         release()
@@ -161,7 +192,7 @@ def keep_known(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     return docs.where(known(F.col("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))))
 
 
-def _pieces(text) -> Iterator[slice]:
+def _runs(text) -> Iterator[slice]:
     at, held = 0, 0
     for i, t in enumerate(text):
         held += len(t or "")

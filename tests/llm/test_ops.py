@@ -270,6 +270,61 @@ def test_language_held_out(docs, sf):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_against_brute_force(spark):
+    """Counts, posteriors and ties of a model and texts computed gram by gram; texts over a piece are cut at a blank."""
+
+    def letter(c):
+        n = ord(c)
+        return "a" <= c <= "z" or (n >= 128 and n != 0xA0 and not 0x2000 <= n < 0x2070 and not 0xA1 <= n < 0xC0)
+
+    def buckets(text):
+        out = []
+        for piece in langid.pieces(text):
+            runs = "".join(c if letter(c) else " " for c in piece.lower()).split()
+            x = [ord(c) for c in " " + "".join(r + " " for r in runs)]
+            for i in range(len(x)):
+                for n in (1, 2, 3):
+                    own = x[i : i + n] if i + n <= len(x) else x[i : i + 1]
+                    h = 0
+                    for k, c in enumerate(own):
+                        h = (h * 0x100000001B3 + c + k + 1) % 2**64
+                    out.append((h * 0x9E3779B97F4A7C15) % 2**64 >> (64 - 15))
+        return out
+
+    r = random.Random(4)
+    some = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(r.randint(1, 60)))
+    data = [(i, some(x), lang) for i in range(60) for lang, x in (("en", "abcde, "), ("fr", "cdefgé."))] + [(1000, "x" * 20_000, "en"), (1001, "ab  ab " * 4000 + "é", None), (1002, "gé fe " * 3000, "fr")]
+    assert all("".join(langid.pieces(t)) == t and max(map(len, langid.pieces(t))) <= langid.PIECE for _, t, _ in data)
+    assert len(langid.pieces(data[-1][1])) == 3
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    counts = {lang: Counter(b for _, t, x in data if x == lang for b in buckets(t)) for lang in ("en", "fr")}
+    weight = {lang: {b: np.float32(np.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 2**15))) for b in range(2**15)} for lang, c in counts.items()}
+    assert model.languages == ["en", "fr"] and np.allclose(model.weights[:, 0], [weight["en"][b] for b in range(2**15)])
+    got = {r["doc_id"]: [] for r in docs.collect()}
+    for x in langid.predict(docs, model).collect():
+        got[x["doc_id"]].append((x["lang_pred"], round(x["score"], 9)))
+    want = {d: [] for d in got}
+    for d, t, _ in data:
+        sums = {lang: sum(float(w[b]) for b in buckets(t)) for lang, w in weight.items()}
+        best = max(sorted(sums), key=sums.get)
+        want[d].append((best, round(1 / sum(np.exp(x - sums[best]) for x in sums.values()), 9)))
+    assert {d: sorted(x) for d, x in got.items()} == {d: sorted(x) for d, x in want.items()}
+
+
+def test_language_long_text_in_bounded_memory():
+    """4 MB and 30 languages: what is gathered at once is bounded."""
+    import tracemalloc
+
+    model = langid.Model([f"l{i:02}" for i in range(30)], np.zeros(30), np.random.default_rng(0).standard_normal((langid.BUCKETS, 30)).astype(np.float32))
+    text = "some words of any kind " * 180_000
+    tracemalloc.start()
+    langid.score(model, [text, "short"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
 def test_language_odd_rows(odd, none):
     model = langid.fit(odd)
     got = [(r["doc_id"], r["lang_pred"], r["score"]) for r in langid.predict(odd, model).collect()]
