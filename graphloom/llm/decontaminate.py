@@ -45,34 +45,48 @@ def _rolled(mixed: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Windows:
-    """Windows of a group of items: by length, their hashes (sorted), word numbers and items."""
+    """Windows of a group of items. All items' word numbers lie side by side; a window is a place in them. By length: the
+    windows' hashes (sorted), places and items' numbers: 16 bytes a window."""
 
     vocabulary: dict[bytes, int]
-    tables: dict[int, tuple[np.ndarray, np.ndarray, list[list[str]]]]
+    names: list[str | None]
+    ids: np.ndarray
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build(items: list[tuple[str, bytes]], window: int = WINDOW) -> Windows:
+def build(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Windows:
     vocabulary: dict[bytes, int] = {}
-    by: dict[int, dict[tuple[int, ...], set[str]]] = {}
+    names: list[str | None] = sorted({x for x, _ in items}, key=lambda x: (x is not None, x or ""))
+    number = {x: k for k, x in enumerate(names)}
+    parts, at, found = [np.zeros(0, np.int64)], 0, {}
     for item, text in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)], np.int64)
         n = min(window, len(ids))
-        for i in range(len(ids) - n + 1 if n else 0):
-            by.setdefault(n, {}).setdefault(tuple(ids[i : i + n]), set()).add(item)
-    tables = {}
-    for n, found in by.items():
-        ids = np.array(list(found), np.int64).reshape(-1, n)
-        hashes = np.array([_rolled(_mix(row), n)[0] for row in ids], np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        owners = [sorted(x) for x in found.values()]
-        tables[n] = (hashes[order], ids[order], [owners[k] for k in order])
-    return Windows(vocabulary, tables)
-
-
-def occurrences(windows: Windows, ids: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
+        if n:
+            keys = _rolled(_mix(ids), n)
+            found.setdefault(n, []).append((keys, np.arange(at, at + len(keys), dtype=np.int32), np.full(len(keys), number[item], np.int32)))
+        parts.append(ids)
+        at += len(ids)
+    all_ids, tables = np.concatenate(parts).astype(np.int32), {}
+    for n, some in found.items():
+        hashes, place, owner = (np.concatenate(x) for x in zip(*some, strict=True))
+        order = np.lexsort((place, owner, hashes))
+        hashes, place, owner = hashes[order], place[order], owner[order]
+        # A window that an item holds again is kept once.
+        new = np.ones(len(hashes), bool)
+        pair = np.nonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1]))[0]
+        for cut in range(0, len(pair), 1 << 16):
+            p = pair[cut : cut + (1 << 16)]
+            step = np.arange(n)
+            new[p + 1] = (all_ids[place[p][:, None] + step] != all_ids[place[p + 1][:, None] + step]).any(1)
+        tables[n] = (hashes[new], place[new], owner[new])
+    return Windows(vocabulary, names, all_ids, tables)
+
+
+def occurrences(windows: Windows, ids: np.ndarray) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first word, length, items) of every window that occurs in ``ids``; 0 separates documents."""
     clear = np.concatenate([[0], np.cumsum(ids == 0)])
-    for n, (hashes, rows, owners) in windows.tables.items():
+    for n, (hashes, place, owner) in windows.tables.items():
         if len(ids) < n:
             continue
         at = np.nonzero(clear[n:] == clear[:-n])[0]
@@ -81,13 +95,12 @@ def occurrences(windows: Windows, ids: np.ndarray) -> Iterator[tuple[int, int, l
         keys = _rolled(_mix(ids), n)[at]
         first = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
         some = hashes[first] == keys
-        for i, k in zip(at[some].tolist(), first[some].tolist(), strict=True):
-            key, own = hashes[k], ids[i : i + n]
-            while k < len(hashes) and hashes[k] == key:
-                if np.array_equal(rows[k], own):
-                    yield i, n, owners[k]
-                    break
-                k += 1
+        last = np.searchsorted(hashes, keys[some], side="right")
+        for i, k, end in zip(at[some].tolist(), first[some].tolist(), last.tolist(), strict=True):
+            own = ids[i : i + n]
+            met = [windows.names[owner[j]] for j in range(k, end) if np.array_equal(windows.ids[place[j] : place[j] + n], own)]
+            if met:
+                yield i, n, met
 
 
 def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.RecordBatch]:
@@ -105,7 +118,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[pa.Re
         for i, n, owners in occurrences(windows, np.concatenate(parts)):
             d = int(np.searchsorted(starts, i, side="right")) - 1
             hit.setdefault(d, []).append((i - int(starts[d]), i - int(starts[d]) + n))
-            items.setdefault(d, set()).update(owners)
+            items.setdefault(d, set()).update(x for x in owners if x is not None)
         ranges = [merged(hit[d]) if d in hit else [] for d in range(len(sizes))]
         yield pa.RecordBatch.from_arrays(
             [
@@ -132,21 +145,21 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SCANNED = "doc_id long, n_words long, ranges array<long>, items array<string>"
 
 
-def _groups(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, bytes]]]:
+def _groups(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """Items in groups of about ``most`` bytes, brought to the driver one group at a time; one item may be more."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // most))
     for k in range(n):
-        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k)
+        own = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)
         yield [(r["item"], bytes(r["text"])) for r in own.collect()]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int = MOST_BYTES) -> DataFrame:
     """(doc_id, n_words, ranges, items) of each row: hit words as flat [from, to) pairs, and the items' ids as text.
 
-    Null and empty texts have no words. Items with a null id or no words are ignored; a repeated id is
-    one item with the windows of all its rows. A benchmark beyond ``most`` bytes is scanned for in
+    Null and empty texts have no words. Items without words are ignored; windows of items with a null id are hit like any
+    others, but give ``items`` no id; a repeated id is one item with the windows of all its rows. A benchmark beyond ``most`` bytes is scanned for in
     groups; rows are then merged by a number given to each row. Repeated rows are kept.
     """
     spark = docs.sparkSession

@@ -449,12 +449,12 @@ def brute_hits(rows, items):
         w = words6(text)
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[i : i + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + n]), set()).update([] if item is None else [str(item)])
     for doc_id, text in rows:
         w, hit, found = words6(text), set(), set()
         for n in {len(k) for k in windows}:
             for i in range(len(w) - n + 1):
-                if own := windows.get(tuple(w[i : i + n])):
+                if (own := windows.get(tuple(w[i : i + n]))) is not None:
                     hit.update(range(i, i + n))
                     found |= own
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
@@ -476,9 +476,9 @@ def test_decontamination_in_groups_and_odd_items(spark, odd, none):
     text = "One two three four"
     rows = [(1, f"x {text} y", "k"), (2, "lone lone", "k"), (3, None, "k"), (None, text, "k"), (4, "Straße " * 20, "k"), (5, "a b c " * 200 + text, "k"), (1, f"x {text} y", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, items string")
-    items = [(7, text, 1), (7, "lone", 1), (8, None, 1), (None, text, 1), (9, "", 1), (10, "straße " * 14, 1), (11, text.upper(), 1)]
+    items = [(7, text, 1), (7, "lone", 1), (8, None, 1), (None, "c one two three", 1), (None, "lone", 1), (None, None, 1), (9, "", 1), (10, "straße " * 14, 1), (11, text.upper(), 1), (7, "y", 1)]
     bench = spark.createDataFrame(items, "item_id long, text string, doc_id int")
-    want = sorted(brute_hits([(r[0], r[1] or "") for r in rows], [(i, t) for i, t, _ in items if i is not None and t]), key=str)
+    want = sorted(brute_hits([(r[0], r[1] or "") for r in rows], [(i, t) for i, t, _ in items if t]), key=str)
     assert sorted(map(tuple, decontaminate.report(df, bench).collect()), key=str) == want
     flat = lambda most: sorted((str(r["doc_id"]), r["n_words"], r["ranges"], r["items"]) for r in decontaminate.hits(df, bench, most=most).collect())
     assert flat(10) == flat(1 << 20)
