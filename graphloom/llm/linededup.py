@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from graphloom.llm import bloom
 from graphloom.llm.common import slices, stage, table
 
-_P = (np.uint64(2147483647), np.uint64(2147483629))
-_B = (1103515245, 69069069)
+_P = tuple(map(np.uint64, (2147483647, 2147483629, 2147483647, 2147483629)))
+_B = (1103515245, 69069069, 48271, 1664525)
+#: Characters of a line that are worked on at once, and keys of a batch, about.
+CHUNK = 1 << 16
 LINES = "doc_id long, row long, line_no int, hi long, lo long, keys array<long>"
 
 
@@ -104,46 +106,100 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(k: int, n: int) -> np.ndarray:
-    have = _POWERS.get(k, np.ones(1, np.uint64))
-    while len(have) < n:
-        have = np.concatenate([have, have * np.uint64(pow(_B[k], len(have), int(_P[k]))) % _P[k]])
-    _POWERS[k] = have
-    return have[:n]
-
-
-def neighbourhood(line: str) -> tuple[int, np.ndarray]:
-    """(hash of the line, hashes of the line without each of its characters), of 62 bits."""
-    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-    whole, out = 0, np.zeros(len(c), np.uint64)
-    for k in range(2):
-        p = _P[k]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(c * _powers(k, len(c)) % p)])
-        total, inverse = sums[-1] % p, np.uint64(pow(_B[k], -1, int(p)))
-        after = (sums[-1] - sums[1:]) % p * inverse % p
-        out = out << np.uint64(31) | (sums[:-1] % p + after) % p
-        whole = whole << 31 | int(total)
-    return whole, out
+def _powers(k: int) -> np.ndarray:
+    """The first CHUNK powers of a base."""
+    if k not in _POWERS:
+        have = np.ones(1, np.uint64)
+        while len(have) < CHUNK:
+            have = np.concatenate([have, have * np.uint64(pow(_B[k], len(have), int(_P[k]))) % _P[k]])
+        _POWERS[k] = have[:CHUNK]
+    return _POWERS[k]
+
+
+def neighbourhood(line: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By chunks of a line, so that any length takes bounded memory: the characters' places; the hashes (a row for each
+    of two of 62 bits) of the line without each of them; whether a character is the first of a run of its like (what is
+    left does not depend on which of a run goes); and the hashes of the whole line."""
+
+    def terms(at: int):
+        c = np.frombuffer(line[at : at + CHUNK].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        for k in range(4):
+            p = _P[k]
+            yield c, (c + np.uint64(1)) * (_powers(k)[: len(c)] * np.uint64(pow(_B[k], at, int(p))) % p) % p
+
+    starts = range(0, len(line), CHUNK)
+    total = [0] * 4
+    for at in starts:
+        for k, (_, t) in enumerate(terms(at)):
+            total[k] = (total[k] + int(t.sum())) % int(_P[k])
+    join = lambda x: np.stack([x[0] << np.uint64(31) | x[1], x[2] << np.uint64(31) | x[3]])
+    whole = join([np.array([t], np.uint64) for t in total])
+    before, last = [0] * 4, -1
+    for at in starts:
+        rest = []
+        for k, (c, t) in enumerate(terms(at)):
+            p = _P[k]
+            sums = (np.cumsum(t) + np.uint64(before[k])) % p
+            after = (np.uint64(total[k]) + p - sums) % p * np.uint64(pow(_B[k], -1, int(p))) % p
+            rest.append((np.concatenate([[np.uint64(before[k])], sums[:-1]]) + after) % p)
+            before[k] = int(sums[-1])
+        new = np.concatenate([[int(c[0]) != last], c[1:] != c[:-1]])
+        last = int(c[-1])
+        yield np.arange(at + 1, at + 1 + len(c), dtype=np.uint64), join(rest), new, whole
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of a line with its place and id: kind 0 a substitution's, 1 the whole line's, 2 a deletion's."""
     salt = np.uint64(0xD6E8FEB86659FD93)
+
+    def keys_of(line: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(line)
+        for place, without, new, whole in neighbourhood(line):
+            sub = (without ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
+            first = [(whole + np.uint64(n)) * salt] if place[0] == 1 else []
+            gone = (without[:, new] + np.uint64(n - 1)) * salt
+            yield np.concatenate([sub, *first, gone], 1), np.repeat(np.array([0, 1, 2], np.int8), [len(place), len(first), gone.shape[1]])
+
     for batch in batches:
-        held, n_held, at = [], 0, 0
+        held, n_held = [], 0
+
+        def sent(batch=batch):
+            keys, kinds, rows = (np.concatenate(x, -1) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(kinds), batch.column("who").take(pa.array(rows))], ["key", "check", "kind", "who"])
+
         for i, line in enumerate(batch.column("line").to_pylist()):
-            n = len(line)
-            whole, without = neighbourhood(line)
-            place = np.arange(1, n + 1, dtype=np.uint64)
-            sub = (without ^ (place * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(n)
-            gone = np.unique(without)
-            held.append((np.concatenate([sub, (np.array([whole], np.uint64) + np.uint64(n)) * salt, (gone + np.uint64(n - 1)) * salt]), np.repeat(np.array([0, 1, 2], np.int8), [n, 1, len(gone)])))
-            n_held += len(held[-1][0])
-            if n_held > 100_000 or i == batch.num_rows - 1:
-                keys, kinds = (np.concatenate(x) for x in zip(*held, strict=True))
-                rows = pa.array(np.repeat(np.arange(at, i + 1), [len(k) for k, _ in held]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kinds), batch.column("who").take(rows)], ["key", "kind", "who"])
-                held, n_held, at = [], 0, i + 1
+            for keys, kinds in keys_of(line):
+                held.append((keys, kinds, np.full(len(kinds), i)))
+                n_held += len(kinds)
+                if n_held > CHUNK:
+                    yield sent()
+                    held, n_held = [], 0
+        if held:
+            yield sent()
+
+
+def edits(a: str, b: str) -> int:
+    """Edit distance of two lines up to 1; 2 if it is more. Equal stretches are compared whole, so long lines are no matter."""
+    if a == b:
+        return 0
+    a, b = sorted((a, b), key=len)
+    if len(b) - len(a) > 1:
+        return 2
+    low, high = 0, len(a)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return 1 if a[low + (len(a) == len(b)) :] == b[low + 1 :] else 2
+
+
+def _repeated_rows(numbered: DataFrame) -> DataFrame | None:
+    """(id, r) of rows that occur again, if there are any."""
+    again = numbered.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("r")).agg(F.count("*").alias("n")).where("n > 1").select("id", "r")
+    again = stage(again, "again")
+    return None if again.isEmpty() else again
 
 
 def decisions(docs: DataFrame) -> DataFrame:
@@ -159,6 +215,11 @@ def decisions(docs: DataFrame) -> DataFrame:
     # Rows of one id are told apart by a hash of their text, so that numbers do not depend on how a scan is cut.
     numbered = rows.withColumn("row", F.xxhash64("text"))
     lines = stage(numbered.mapInArrow(_split, LINES), "lines")
+    again = _repeated_rows(numbered)
+    if again is not None:
+        # Equal rows are one document: their lines count once.
+        alike = lines["doc_id"].eqNullSafe(again["id"]) & lines["row"].eqNullSafe(again["r"])
+        lines = lines.join(again, alike, "left_anti").unionByName(lines.join(again, alike, "left_semi").dropDuplicates(["doc_id", "row", "line_no"]))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line_no")
     distinct = stage(lines.groupBy("hi", "lo").agg(F.min(order).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("n")), "texts")
     bits = spark.sparkContext.broadcast(shared_filter(distinct))
@@ -170,22 +231,32 @@ def decisions(docs: DataFrame) -> DataFrame:
     texts = stage(halved.join(left, ["hi", "lo"]).join(distinct.select("hi", "lo", "first"), ["hi", "lo"]), "candidates")
     emitted = texts.select("line", F.struct("first", "hi", "lo").alias("who"))
     who = emitted.schema["who"].dataType.simpleString()
-    emitted = stage(emitted.mapInArrow(_emit, f"key long, kind byte, who {who}").withColumn("form", F.least("kind", F.lit(1).cast("byte"))), "neighbourhoods")
+    emitted = stage(emitted.mapInArrow(_emit, f"key long, check long, kind byte, who {who}").withColumn("form", F.least("kind", F.lit(1).cast("byte"))), "neighbourhoods")
     # Only keys that are met matter; counting them moves no place or id.
-    shared = emitted.groupBy("key", "form").agg(F.count_if(F.col("kind") < 2).alias("wholes"), F.count_if(F.col("kind") == 2).alias("gones")).where("wholes > 1 or (form = 1 and wholes + gones > 1)")
-    met = stage(emitted.join(shared, ["key", "form"]), "met")
-    least = met.groupBy("key", "form").agg(F.min(F.when(F.col("kind") < 2, F.col("who"))).alias("whole"), F.min(F.when(F.col("kind") == 2, F.col("who"))).alias("gone"))
-    met = met.join(least, ["key", "form"]).select("kind", "wholes", "gones", "whole", "gone", "who.hi", "who.lo")
+    name = ["key", "check", "form"]
+    shared = emitted.groupBy(*name).agg(F.count_if(F.col("kind") < 2).alias("wholes"), F.count_if(F.col("kind") == 2).alias("gones")).where("wholes > 1 or (form = 1 and wholes + gones > 1)")
+    met = stage(emitted.join(shared, name), "met")
+    least = met.groupBy(*name).agg(F.min(F.when(F.col("kind") < 2, F.col("who"))).alias("whole"), F.min(F.when(F.col("kind") == 2, F.col("who"))).alias("gone"))
+    met = met.join(least, name).select("kind", "wholes", "gones", "whole", "gone", "who.hi", "who.lo")
     partner = F.when(F.col("kind") == 1, F.col("gone")).otherwise(F.col("whole"))
     n = F.when(F.col("kind") == 0, F.col("wholes") - 1).when(F.col("kind") == 1, F.col("gones")).otherwise(F.col("wholes"))
-    linked = met.select("hi", "lo", n.alias("n"), partner.alias("partner")).where("n > 0").groupBy("hi", "lo").agg(F.sum("n").alias("n_links"), F.min("partner").alias("partner"))
-    named = linked.select("hi", "lo", "n_links", F.col("partner.hi").alias("hi2"), F.col("partner.lo").alias("lo2"))
+    named = stage(met.select("hi", "lo", n.alias("n"), partner["hi"].alias("hi2"), partner["lo"].alias("lo2")).where("n > 0"), "named")
     own, other = texts.select("hi", "lo", "line", "first"), texts.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), F.col("line").alias("line2"), F.col("first").alias("first2"))
-    verified = named.join(own, ["hi", "lo"]).join(other, ["hi2", "lo2"]).select("hi", "lo", "n_links", ((F.col("first2") < F.col("first")) & (F.levenshtein("line", "line2", 1) == 1)).alias("near"))
+
+    @F.pandas_udf("int")
+    def measured(a, b):
+        import pandas as pd
+
+        return pd.Series(list(map(edits, a, b)), dtype="int32")
+
+    # All lines under a key are alike if each is like the earliest of them, so each is verified with that one.
+    pairs = named.join(own, ["hi", "lo"]).join(other, ["hi2", "lo2"]).withColumn("apart", measured("line", "line2")).where("apart < 2")
+    verified = stage(pairs.groupBy("hi", "lo").agg(F.sum("n").alias("n_links"), F.bool_or((F.col("first2") < F.col("first")) & (F.col("apart") == 1)).alias("near")), "verified")
     marks = distinct.select("hi", "lo", "first").join(verified, ["hi", "lo"], "left")
     # Only texts that occur again or have a link differ from "kept, no link".
     special = distinct.where("n > 1").select("hi", "lo").union(verified.select("hi", "lo")).distinct()
-    marks = marks.join(special, ["hi", "lo"], "left_semi")
+    # A table, so that the join below is a plain one, which adaptive execution can split at a common line.
+    marks = stage(marks.join(special, ["hi", "lo"], "left_semi"), "marks")
     same = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("row").eqNullSafe(F.col("first.row"))) & (F.col("line_no") == F.col("first.line_no"))
     return lines.drop("keys").join(marks, ["hi", "lo"], "left").select(
         "doc_id", "row", "line_no", (F.col("first").isNotNull() & ~same).alias("repeat"), F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")
@@ -209,9 +280,15 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of each document without the lines that ``decisions`` drops; blank lines stay, null stays null."""
+    """(doc_id, text) of each document without the lines that ``decisions`` drops; blank lines stay, null stays null.
+
+    Rows equal in id and text are one document and give one row. Other columns are ignored.
+    """
     d = decisions(docs).where("repeat or near").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone")).toDF("id", "r", "gone")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row"))
+    if (again := _repeated_rows(rows)) is not None:
+        alike = rows["doc_id"].eqNullSafe(again["id"]) & rows["row"].eqNullSafe(again["r"])
+        rows = rows.join(again, alike, "left_anti").unionByName(rows.join(again, alike, "left_semi").dropDuplicates(["doc_id", "row"]))
     joined = rows.join(d, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("row").eqNullSafe(F.col("r")), "left")
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
     return joined.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"))

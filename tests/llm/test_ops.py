@@ -593,6 +593,18 @@ def test_line_dedup_matches_brute_force(spark, none, odd):
     assert linededup.line_report(none).count() == 0 and linededup.line_report(odd).count() == len(ODD) - 1
 
 
+def test_line_dedup_repeated_rows_and_long_lines(spark):
+    """Equal rows are one document; lines longer than a chunk are compared whole."""
+    long = "".join(random.Random(8).choice("ab") for _ in range(2 * linededup.CHUNK + 500))
+    at = linededup.CHUNK
+    rows = [(1, "one\ntwo")] * 3 + [(2, "one\nthree"), (None, "solo"), (None, "solo"), (10, long), (11, long[:at] + "c" + long[at + 1 :]), (12, long[:10] + long[11:]), (13, long[:at] + "dd" + long[at + 2 :])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[1:]) for r in linededup.line_report(df).collect()}
+    assert got[1] == (2, 0, 0, 2, 0) and got[2] == (2, 1, 0, 1, 0) and got[None] == (1, 0, 0, 1, 0)
+    assert got[10] == (1, 0, 0, 1, 2) and got[11] == (1, 0, 1, 0, 1) and got[12] == (1, 0, 1, 0, 1) and got[13] == (1, 0, 0, 1, 0)
+    assert sorted((str(r["doc_id"]), r["text"][:9]) for r in linededup.dedup_lines(df).collect() if r["text"] and len(r["text"]) < 10) == [("1", "one\ntwo"), ("2", "three"), ("None", "solo")]
+
+
 # 9 counts
 
 
