@@ -595,7 +595,7 @@ def test_line_dedup_matches_brute_force(spark, none, odd):
 
 def test_line_dedup_repeated_rows_and_long_lines(spark):
     """Equal rows are one document; lines longer than a chunk are compared whole."""
-    long = "".join(random.Random(8).choice("ab") for _ in range(2 * linededup.CHUNK + 500))
+    long = "".join(random.Random(8).choices("ab", k=2 * linededup.CHUNK + 500))
     at = linededup.CHUNK
     rows = [(1, "one\ntwo")] * 3 + [(2, "one\nthree"), (None, "solo"), (None, "solo"), (10, long), (11, long[:at] + "c" + long[at + 1 :]), (12, long[:10] + long[11:]), (13, long[:at] + "dd" + long[at + 2 :])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
