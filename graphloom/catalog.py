@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import derived, files, graphs, reads
+from graphloom.queries import derived, files, graphs, reads, rules
 
-_MODULES = (reads, graphs, derived, files)
+_MODULES = (reads, graphs, derived, rules, files)
 
 
 def queries() -> dict:
