@@ -240,13 +240,22 @@ def adapter_metrics(runs: DataFrame) -> DataFrame:
     return runs.groupBy("phase", "adapter").agg(F.count("*").alias("runs"), F.sum("ms").alias("ms"), F.sum("inputs").alias("inputs"), F.sum("outputs").alias("outputs"), F.sum("bytes").alias("bytes"))
 
 
-def path_index(g: KnowledgeGraph) -> DataFrame:
-    """(path, table, ids): which rows of each table a file owns."""
+#: Ids of a row of the path index, about.
+INDEXED = 10_000
+
+
+def path_index(g: KnowledgeGraph, most: int = INDEXED) -> DataFrame:
+    """(path, table, part, ids): which rows of each table a file owns. A file of many has several parts, dealt by the MD5 of
+    the id, of about ``most`` ids each."""
     rows = None
     for name in ("entities", "facts", "relations", "diagnostics"):
         own = getattr(g, name).select(F.explode(F.array_distinct(_paths("ownership"))).alias("path"), F.lit(name).alias("table"), "id")
         rows = own if rows is None else rows.union(own)
-    return rows.groupBy("path", "table").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    parts = rows.groupBy("path", "table").agg((F.floor((F.count("*") - 1) / most) + 1).alias("parts"))
+    hot = parts.where("parts > 1")
+    number = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
+    dealt = rows.join(hot, ["path", "table"], "left").withColumn("part", F.coalesce(F.pmod(number, F.col("parts")), F.lit(0)))
+    return dealt.groupBy("path", "table", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def key_index(g: KnowledgeGraph) -> DataFrame:

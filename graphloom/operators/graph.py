@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,9 +130,16 @@ def id_of_key(g: KnowledgeGraph, stable_key: str) -> str:
     return found
 
 
-def related(g: KnowledgeGraph, stable_key: str, depth: int = 1, max_entities: int = 50) -> DataFrame:
-    """(id, stable_key, distance) around an entity, both ways, nearest first; ``max_entities`` at most."""
-    visits, _ = walk(g, [id_of_key(g, stable_key)], depth, max_entities)
+def related(g: KnowledgeGraph, stable_key: str, depth: int = 1, max_entities: int | None = 50) -> DataFrame:
+    """(id, stable_key, distance) around an entity, both ways, nearest first.
+
+    ``max_entities`` at most, by a walk of the driver's; None: all of them, level by level in staged tables.
+    """
+    start = id_of_key(g, stable_key)
+    if max_entities is None:
+        hit = reached(edges_both_ways(g.relations), g.entities.sparkSession.createDataFrame([(start,)], "id string"), depth)
+        return hit.join(g.entities.select("id", "stable_key"), "id").select("id", "stable_key", F.col("depth").alias("distance"))
+    visits, _ = walk(g, [start], depth, max_entities)
     rows = sorted(((v.id, v.stable_key, v.depth) for v in visits), key=lambda r: (r[2], r[1]))
     return g.entities.sparkSession.createDataFrame(rows, "id string, stable_key string, distance int")
 
@@ -143,50 +151,83 @@ def induced(g: KnowledgeGraph, nodes: DataFrame, limit: int | None = None) -> Da
     return r if limit is None else r.orderBy("id").limit(limit)
 
 
-def shortest_path(g: KnowledgeGraph, source_key: str, target_key: str, max_depth: int = 6, max_visited: int = 10_000) -> DataFrame:
+def shortest_path(g: KnowledgeGraph, source_key: str, target_key: str, max_depth: int = 6, max_visited: int | None = 10_000) -> DataFrame:
     """(hop, relation, forward, src, dst) from source to target; no rows if there is no path within the limits or they are one.
 
-    ``forward`` tells whether the hop goes along its relation.
+    ``forward`` tells whether the hop goes along its relation. With ``max_visited`` None, levels are staged tables of any size.
     """
     a, b = id_of_key(g, source_key), id_of_key(g, target_key)
-    visits, _ = walk(g, [a], max_depth, max_visited, stop=b)
-    by, hops, at = {v.id: v for v in visits}, [], b
-    while at in by and by[at].parent is not None:
-        v = by[at]
-        hops.append((v.depth, v.rel, v.forward, v.parent, v.id))
-        at = v.parent
+    if max_visited is None:
+        hops = _staged_path(g, a, b, max_depth)
+    else:
+        visits, _ = walk(g, [a], max_depth, max_visited, stop=b)
+        by, hops, at = {v.id: v for v in visits}, [], b
+        while at in by and by[at].parent is not None:
+            v = by[at]
+            hops.append((v.depth, v.rel, v.forward, v.parent, v.id))
+            at = v.parent
     return g.entities.sparkSession.createDataFrame(sorted(hops), "hop int, relation string, forward boolean, src string, dst string")
 
 
+def _staged_path(g: KnowledgeGraph, a: str, b: str, depth: int) -> list[tuple]:
+    """The hops of ``walk``'s path: of all shortest ways the first by the keys on it, then by relation ids. A level keeps
+    ids, keys of the way so far (which is the order of discovery) and the hop into each id; the way is followed back at the end."""
+    spark = g.entities.sparkSession
+    keys = g.entities.select(F.col("id").alias("b"), "stable_key")
+    edges = edges_both_ways(g.relations)
+    new = stage(keys.where(F.col("b") == a).select(F.col("b").alias("id"), F.array("stable_key").alias("way"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("boolean").alias("forward")), "way")
+    levels, seen = [new], new.select("id")
+    for _ in range(depth):
+        if a == b or not new.where(F.col("id") == b).isEmpty() or new.isEmpty():
+            break
+        best = F.min(F.struct("way", "rel", "a", "forward")).alias("v")
+        step = new.select(F.col("id").alias("a"), "way").join(edges, "a").groupBy("b").agg(best).join(seen.withColumnRenamed("id", "b"), "b", "left_anti").join(keys, "b")
+        new = stage(step.select(F.col("b").alias("id"), F.array_append("v.way", F.col("stable_key")).alias("way"), F.col("v.a").alias("parent"), F.col("v.rel").alias("rel"), F.col("v.forward").alias("forward")), "way")
+        levels.append(new)
+        seen = seen.union(new.select("id"))
+    hops, at = [], b
+    for n in range(len(levels) - 1, 0, -1):
+        row = levels[n].where(F.col("id") == at).select("parent", "rel", "forward").first()
+        if row is None:
+            return []
+        hops.append((n, row["rel"], row["forward"], row["parent"], at))
+        at = row["parent"]
+    return hops
+
+
 def pagerank(g: KnowledgeGraph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-8, kind: str | None = None, limit: int | None = None) -> DataFrame:
     """(rank, id, stable_key, kind, score): directed, parallel relations count, dangling mass is spread evenly.
 
-    Ends when the L1 change is at most ``tolerance``. ``kind`` only filters the output. Relations are dealt out by source once
-    and kept; each round shuffles one row for each distinct target of a partition.
+    Ends when the L1 change is at most ``tolerance``. ``kind`` only filters the output. Arcs are dealt out by source once and
+    kept on the executors' disks (a lost one's are dealt again from a staged table); a round moves scores and one partial sum for
+    each distinct target of a partition, writes the new scores and runs one small aggregation.
     """
     spark = g.entities.sparkSession
-    nodes = stage(g.entities.select("id").distinct(), "nodes")
-    n = nodes.count()
-    if not n:
-        return spark.createDataFrame([], "rank int, id string, stable_key string, kind string, score double")
+    ids = g.entities.select("id").distinct()
     ends = g.relations.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    ends = ends.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ends = stage(ends.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "ends")
     out = ends.groupBy("src").agg(F.sum("m").alias("outs"))
-    arcs = stage(ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("outs")).alias("share")), "arcs")
-    sources = stage(out.select("src"), "sources")
-    scores = stage(nodes.withColumn("score", F.lit(1.0 / n)), "scores")
+    nodes = stage(ids.join(out, ids["id"] == out["src"], "left").select("id", F.col("outs").isNotNull().alias("gives")), "nodes")
+    row = nodes.agg(F.count("*").alias("n"), F.count_if("gives").alias("given")).first()
+    n = row["n"]
+    if not n:
+        return spark.createDataFrame([], "rank int, id string, stable_key string, kind string, score double" if limit is not None else "id string, stable_key string, kind string, score double")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    arcs = ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("outs")).alias("share")).repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+    scores, given = stage(nodes.withColumn("score", F.lit(1.0 / n)), "scores"), row["given"] / n
     for _ in range(iterations):
-        given = scores.join(sources, scores["id"] == sources["src"], "left_semi").agg(F.sum("score")).first()[0] or 0.0
         rest = (1 - damping) / n + damping * max(0.0, 1.0 - given) / n
-        gained = scores.join(arcs, scores["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("g"))
-        new = scores.join(gained, scores["id"] == gained["dst"], "left").select("id", (F.lit(rest) + damping * F.coalesce("g", F.lit(0.0))).alias("score"), F.abs(F.lit(rest) + damping * F.coalesce("g", F.lit(0.0)) - F.col("score")).alias("moved"))
-        new = stage(new, "scores")
-        moved = new.agg(F.sum("moved")).first()[0]
+        gained = scores.where("gives").join(arcs, scores["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("g"))
+        score = F.lit(rest) + damping * F.coalesce("g", F.lit(0.0))
+        new = stage(scores.join(gained, scores["id"] == gained["dst"], "left").select("id", "gives", score.alias("score"), F.abs(score - F.col("score")).alias("moved")), "scores")
+        row = new.agg(F.sum("moved").alias("moved"), F.sum(F.when(F.col("gives"), F.col("score"))).alias("given")).first()
+        given = row["given"] or 0.0
         unstage(scores)
         scores = new.drop("moved")
         scores._staged_path = new._staged_path  # type: ignore[attr-defined]
-        if moved <= tolerance:
+        if row["moved"] <= tolerance:
             break
+    arcs.unpersist()
     e = g.entities.select("id", "stable_key", display_kind().alias("kind"))
     if kind is not None:
         e = e.where(F.col("kind") == kind)
@@ -211,16 +252,17 @@ def cyclic_core(g: KnowledgeGraph, rounds: int = 64) -> DataFrame:
     return edges
 
 
-def cycles(g: KnowledgeGraph, max_starts: int = 1000, max_depth: int = 8, limit: int = 20) -> DataFrame:
+def cycles(g: KnowledgeGraph, max_starts: int | None = 1000, max_depth: int = 8, limit: int | None = 20) -> DataFrame:
     """(length, cycle_key, relations): simple directed cycles of at most ``max_depth`` relations through one of the first
-    ``max_starts`` entities by key.
+    ``max_starts`` entities by key (None: any), the first ``limit`` by length and key (None: all).
 
     A cycle is told once, by the least rotation of its relation ids; a self-loop has length 1. Paths grow only in what is left when
     nodes that lie on no cycle are taken off.
     """
     core = cyclic_core(g)
     keyed = g.entities.select(F.col("id").alias("start"), "stable_key")
-    starts = keyed.join(core.select(F.col("src").alias("start")).distinct(), "start", "left_semi").orderBy("stable_key").limit(max_starts).select("start")
+    starts = keyed.join(core.select(F.col("src").alias("start")).distinct(), "start", "left_semi")
+    starts = (starts if max_starts is None else starts.orderBy("stable_key").limit(max_starts)).select("start")
     known = g.entities.select(F.col("id").alias("dst"))
     arcs = core.join(known, "dst", "left_semi").select(F.col("src").alias("at"), F.col("dst").alias("next"), F.col("id").alias("rel"))
     paths = starts.select("start", F.col("start").alias("at"), F.array().cast("array<string>").alias("nodes"), F.array().cast("array<string>").alias("rels"))
@@ -236,7 +278,7 @@ def cycles(g: KnowledgeGraph, max_starts: int = 1000, max_depth: int = 8, limit:
     turn = lambda r: F.array_join(F.concat(F.slice("rels", r + 1, F.size("rels") - r), F.slice("rels", F.lit(1), r)), "\x1f")
     key = F.array_min(F.transform(F.sequence(F.lit(0), F.size("rels") - 1), turn))
     out = closed.select(F.size("rels").alias("length"), key.alias("cycle_key")).distinct()
-    return out.orderBy("length", "cycle_key").limit(limit).select("length", "cycle_key", F.split("cycle_key", "\x1f").alias("relations"))
+    return (out if limit is None else out.orderBy("length", "cycle_key").limit(limit)).select("length", "cycle_key", F.split("cycle_key", "\x1f").alias("relations"))
 
 
 def oriented(relations: DataFrame) -> DataFrame:
@@ -245,6 +287,19 @@ def oriented(relations: DataFrame) -> DataFrame:
     return f.union(relations.where(F.col("kind").isin(*BACKWARD)).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("id").alias("rel"), F.lit(False).alias("forward")))
 
 
+def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth) of all that can be reached over ``edges`` (a, b) from ``starts`` (id): ``reach`` without its paths."""
+    new = stage(starts.select("id").distinct().withColumn("depth", F.lit(0)), "level")
+    levels, level = new, 0
+    ways = edges.select("a", "b")
+    while (depth is None or level < depth) and not new.isEmpty():
+        level += 1
+        step = new.select(F.col("id").alias("a")).join(ways, "a").select(F.col("b").alias("id")).distinct()
+        new = stage(step.join(levels.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)), "level")
+        levels = levels.union(new)
+    return levels
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, depth, path) of all that can be reached over ``edges`` (a, b, rel) from ``starts`` (id), by the path found first.
 
@@ -299,7 +354,7 @@ def impact_files(g: KnowledgeGraph, hit: DataFrame) -> DataFrame:
 
 def closure(g: KnowledgeGraph, ids: DataFrame) -> DataFrame:
     """(id): all that is connected to ``ids`` over relations of any direction."""
-    return reach(edges_both_ways(g.relations).select("a", "b", "rel"), ids.select("id").distinct()).select("id").distinct()
+    return reached(edges_both_ways(g.relations), ids).select("id")
 
 
 def closure_graph(g: KnowledgeGraph, ids: DataFrame) -> KnowledgeGraph:

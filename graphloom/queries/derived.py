@@ -54,11 +54,11 @@ def lexical_scores(spark, sf):
     return R.lexical_scores(graph(spark, sf), "Supplier 11, Germany")
 
 
-@query("""SELECT id, max(score) AS score, string_agg(reason, ',' ORDER BY n) AS reasons FROM (SELECT DISTINCT 'part:' || l_partkey AS id, 1200 AS score, 'target' AS reason, 0 AS n FROM lineitem WHERE l_orderkey < 20
+@query("""SELECT id, max(score) AS score, string_agg(reason, ',' ORDER BY n) AS reasons FROM (SELECT DISTINCT 'part:' || l_partkey AS id, 1200 AS score, 'target' AS reason, 0 AS n FROM lineitem WHERE l_returnflag = 'R'
 UNION ALL SELECT 'part:' || p_partkey, 1100, 'diff', 1 FROM part WHERE p_size < 3 UNION ALL SELECT 'part:' || p_partkey, 1000 - 10 * (rank - 1), 'search', 2 FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) WHERE rank <= 40) GROUP BY id""")
 def change_seeds(spark, sf):
     part = lambda c: F.concat(F.lit("part:"), F.col(c).cast("string")).alias("id")
-    a = read(spark, sf, "lineitem").where("l_orderkey < 20").select(part("l_partkey"), F.lit(R.TARGET_SEED).alias("score"), F.lit("target").alias("reason"))
+    a = read(spark, sf, "lineitem").where("l_returnflag = 'R'").select(part("l_partkey"), F.lit(R.TARGET_SEED).alias("score"), F.lit("target").alias("reason"))
     b = read(spark, sf, "part").where("p_size < 3").select(part("p_partkey"), F.lit(R.DIFF_SEED).alias("score"), F.lit("diff").alias("reason"))
     top = R.numbered(read(spark, sf, "part").withColumn("down", -F.col("p_retailprice")), "hit", ["down", "p_partkey"], 40).select(part("p_partkey"), F.substring("ref", 5, 4).cast("int").alias("rank"))
     return R.merged_seeds(a, b, R.search_seeds(top))
@@ -123,9 +123,10 @@ def link_first_match(spark, sf):
     return L.first_match(d, _keyed(g, "nation:", "dst", F.regexp_extract("id", DIGITS, 1)), ["src"]).select("src", "dst")
 
 
-@query("SELECT p_name AS key, 'part:' || min(p_partkey) AS dst FROM part GROUP BY p_name HAVING count(*) = 1")
+@query("SELECT p_brand || ' ' || p_retailprice::VARCHAR AS key, 'part:' || min(p_partkey) AS dst FROM part GROUP BY 1 HAVING count(*) = 1")
 def link_unique_keys(spark, sf):
-    return L.unique_keys(_keyed(graph(spark, sf), "part:", "dst", F.col("name"))).select("key", "dst")
+    key = F.concat_ws(" ", "p_brand", F.col("p_retailprice").cast("string"))
+    return L.unique_keys(read(spark, sf, "part").select(key.alias("key"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("dst")))
 
 
 @query("SELECT DISTINCT 'document:' || doc_id AS src, 'nation:' || n_nationkey AS dst FROM documents, nation WHERE contains(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g'), left(regexp_replace(lower(n_name), '[^\\p{L}\\p{N}]', '', 'g'), 4))")
@@ -163,7 +164,7 @@ def check_missing(spark, sf):
     return C.missing(g.entities.where("kind = 'symbol'"), g.relations, "dst", "documents").select("id")
 
 
-@query(sql("ent rel", "SELECT id FROM ent WHERE kind = 'symbol' AND id IN (SELECT src FROM rel WHERE kind = 'implemented_by') AND id NOT IN (SELECT dst FROM rel WHERE kind = 'documents')"))
+@query("SELECT 'part:' || p_partkey AS id FROM part SEMI JOIN lineitem ON l_partkey = p_partkey ANTI JOIN documents ON doc_id = p_partkey")
 def check_implemented_undocumented(spark, sf):
     g = graph(spark, sf)
     e = g.entities.withColumn("kind", F.when(F.col("kind") == "symbol", "api_endpoint").otherwise(F.col("kind")))
@@ -189,11 +190,11 @@ def check_ambiguous(spark, sf):
 
 
 @query("""SELECT user_id, coalesce(list_aggregate(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), 'string_agg', ','), '') AS missing, coalesce(list_aggregate(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), 'string_agg', ','), '') AS extra
-FROM (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE event_id % 97 = 0 GROUP BY user_id) JOIN (SELECT user_id, list(DISTINCT event_type) AS b FROM events WHERE event_id % 89 = 0 GROUP BY user_id) USING (user_id) WHERE list_sort(a) <> list_sort(b)""")
+FROM (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id) JOIN (SELECT user_id, list(DISTINCT event_type) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id) USING (user_id) WHERE list_sort(a) <> list_sort(b)""")
 def check_set_drift(spark, sf):
     e = read(spark, sf, "events")
-    a = e.where("event_id % 97 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
-    b = e.where("event_id % 89 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("b"))
+    a = e.where("ts < timestamp '2024-01-16'").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    b = e.where("ts >= timestamp '2024-01-16'").groupBy("user_id").agg(F.collect_set("event_type").alias("b"))
     return C.set_drift(a, b, ["user_id"], "a", "b").select("user_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
@@ -336,10 +337,9 @@ def affected_report(spark, sf):
 # --- scalar functions
 
 
-@query("SELECT doc_id, regexp_replace(lower(left(text, 200)), '[^\\p{L}\\p{N}]', '', 'g') AS normalized, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(left(text, 200)), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ',') AS terms FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS normalized, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))), ',') AS terms FROM documents")
 def text_functions(spark, sf):
-    t = F.substring("text", 1, 200)
-    return read(spark, sf, "documents").select("doc_id", X.normalized(t).alias("normalized"), F.array_join(X.terms(t), ",").alias("terms"))
+    return read(spark, sf, "documents").select("doc_id", X.normalized(F.col("text")).alias("normalized"), F.array_join(X.terms(F.col("text")), ",").alias("terms"))
 
 
 @query(sql("ent", f"SELECT id, {ROOT} AS root, path || ':1' AS anchor, split_part(stable_key, '://', 1) AS scheme FROM ent"))

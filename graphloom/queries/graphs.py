@@ -30,10 +30,10 @@ def graph_export_nodes(spark, sf):
     return G.export_nodes(graph(spark, sf), 100)
 
 
-@query(sql("ent deg", "SELECT id, kind, src, dst FROM rel WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY id LIMIT 200", f"top AS ({TOP_NODES})"))
+@query(sql("ent deg", "SELECT id, kind, src, dst FROM rel WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY id LIMIT 200", f"top AS ({TOP_NODES.replace('LIMIT 100', 'LIMIT 3000')})"))
 def graph_export_edges(spark, sf):
     g = graph(spark, sf)
-    return G.export_edges(g, G.export_nodes(g, 100), 200).select("id", "kind", "src", "dst")
+    return G.export_edges(g, G.export_nodes(g, 3000), 200).select("id", "kind", "src", "dst")
 
 
 @query(sql("ent deg", "SELECT 100 AS nodes, (SELECT least(200, count(*)) FROM rel WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)) AS edges, (SELECT count(*) - 100 FROM ent) AS omitted_nodes, (SELECT count(*) FROM rel) - (SELECT least(200, count(*)) FROM rel WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)) AS omitted_edges", f"top AS ({TOP_NODES})"))
@@ -51,17 +51,17 @@ def graph_hubs(spark, sf):
 
 @query(sql("ent arcs", "SELECT e.id, e.stable_key, min(depth) AS distance FROM w JOIN ent e ON e.id = w.id GROUP BY e.id, e.stable_key", "w AS (SELECT 'region:1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN arcs ON a = w.id WHERE depth < 2)", recursive=True))
 def graph_related(spark, sf):
-    return G.related(graph(spark, sf), "region://1", 2, 100_000)
+    return G.related(graph(spark, sf), "region://1", 2, None)
 
 
 @query()
 def graph_shortest_path(spark, sf):
-    return G.shortest_path(graph(spark, sf), "region://1", "part://5", 6, 100_000)
+    return G.shortest_path(graph(spark, sf), "region://1", "part://5", 6, None)
 
 
 @query(sql("arcs", "SELECT min(depth) AS hops FROM w WHERE id = 'order:5'", "w AS (SELECT 'region:1' AS id, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN arcs ON a = w.id WHERE depth < 4)", recursive=True))
 def graph_path_length(spark, sf):
-    return G.shortest_path(graph(spark, sf), "region://1", "order://5", 6, 100_000).agg(F.max("hop").alias("hops"))
+    return G.shortest_path(graph(spark, sf), "region://1", "order://5", 6, None).agg(F.max("hop").alias("hops"))
 
 
 def _pagerank_sql(k: int) -> str:
@@ -73,23 +73,27 @@ def _pagerank_sql(k: int) -> str:
     return sql("ent rel", f"SELECT e.id, e.stable_key, e.kind, round(score, 9) AS score FROM s{k} JOIN ent e USING (id)", *steps)
 
 
-@query(_pagerank_sql(4))
+#: Past the tolerance of the operator at every scale of the test data.
+ROUNDS = 20
+
+
+@query(_pagerank_sql(ROUNDS))
 def graph_pagerank(spark, sf):
-    return G.pagerank(graph(spark, sf), iterations=4, tolerance=0.0).withColumn("score", F.round("score", 9))
+    return G.pagerank(graph(spark, sf), iterations=ROUNDS, tolerance=0.0).withColumn("score", F.round("score", 9))
 
 
 def with_back_edges(spark, sf):
-    """What nations contain, with a relation from each supplier back to its nation: the only cycles."""
+    """The whole graph, with a relation from each order back to its customer: the only cycles."""
     g = graph(spark, sf)
-    back = read(spark, sf, "supplier").select(F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("src"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("dst"))
+    back = read(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("src"), F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("dst"))
     cols = {f.name: F.lit(None).cast(f.dataType) for f in g.relations.schema.fields}
     cols |= {"id": F.concat_ws("|", F.lit("returns"), "src", "dst"), "kind": F.lit("returns"), "src": F.col("src"), "dst": F.col("dst"), "confidence": F.lit(1.0).cast("float"), "evidence": _evidence(F.lit("edges/returns"), F.lit("linker-returns"))}
-    return g.with_tables(relations=g.relations.where("kind = 'contains'").unionByName(back.select(*(c.alias(n) for n, c in cols.items()))))
+    return g.with_tables(relations=g.relations.unionByName(back.select(*(c.alias(n) for n, c in cols.items()))))
 
 
-@query(sql("", "SELECT 2 AS length, 'contains|nation:' || s_nationkey || '|supplier:' || s_suppkey || ',returns|supplier:' || s_suppkey || '|nation:' || s_nationkey AS relations FROM supplier ORDER BY relations LIMIT 500"))
+@query("SELECT 2 AS length, 'calls|customer:' || o_custkey || '|order:' || o_orderkey || ',returns|order:' || o_orderkey || '|customer:' || o_custkey AS relations FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 def graph_cycles(spark, sf):
-    return G.cycles(with_back_edges(spark, sf), max_starts=1_000_000, max_depth=3, limit=500).select("length", F.array_join("relations", ",").alias("relations"))
+    return G.cycles(with_back_edges(spark, sf), max_starts=None, limit=None).select("length", F.array_join("relations", ",").alias("relations"))
 
 
 ORIENTED = "way AS (SELECT dst AS a, src AS b FROM rel WHERE kind IN ('calls', 'imports', 'implemented_by', 'documents', 'contains'))"
@@ -147,16 +151,21 @@ def two_hop_graph(spark, sf):
     return G.two_hop(graph(spark, sf), "region://1", "contains", "contains")
 
 
-@query(sql("", "SELECT 'region://' || n_regionkey AS src_key, 'nation://' || n_nationkey AS dst_key, 'contains' AS kind FROM nation WHERE n_nationkey = 3"))
+@query(sql("", "SELECT 'region://' || n_regionkey AS src_key, 'nation://' || n_nationkey AS dst_key, 'contains' AS kind FROM nation"))
 def family_graph(spark, sf):
-    return G.family_graph(graph(spark, sf), ("region", "nation"), "3").where("dst_key = 'nation://3'")
+    return G.family_graph(graph(spark, sf), ("region", "nation"))
+
+
+@query(sql("ent rel", "SELECT a.stable_key AS src_key, b.stable_key AS dst_key, r.kind FROM rel r JOIN ent a ON a.id = r.src JOIN ent b ON b.id = r.dst WHERE regexp_matches(a.stable_key, '^(nation|customer|supplier)://') AND regexp_matches(b.stable_key, '^(nation|customer|supplier)://') AND (split_part(a.stable_key, '/', 3) = '3' OR split_part(b.stable_key, '/', 3) = '3')"))
+def segment_graph(spark, sf):
+    return G.family_graph(graph(spark, sf), ("nation", "customer", "supplier"), "3")
 
 
 @query(sql("ent rel", """SELECT a.stable_key AS src_key, b.stable_key AS dst_key, r.kind FROM rel r JOIN ent a ON a.id = r.src JOIN ent b ON b.id = r.dst
-WHERE a.stable_key IN (SELECT stable_key FROM ent ORDER BY 1 LIMIT 400) AND b.stable_key IN (SELECT stable_key FROM ent ORDER BY 1 LIMIT 400) ORDER BY 1, 2, 3 LIMIT 100"""))
+WHERE a.stable_key IN (SELECT stable_key FROM ent ORDER BY 1 LIMIT 5000) AND b.stable_key IN (SELECT stable_key FROM ent ORDER BY 1 LIMIT 5000) ORDER BY 1, 2, 3 LIMIT 100"""))
 def bounded_graph(spark, sf):
     g = graph(spark, sf)
-    return G.bounded(g.entities.where("stable_key is not null").select(F.col("stable_key").alias("key")), G.keyed_edges(g), 400, 100)[1]
+    return G.bounded(g.entities.where("stable_key is not null").select(F.col("stable_key").alias("key")), G.keyed_edges(g), 5000, 100)[1]
 
 
 @query(sql("ent rel", """SELECT m.stable_key AS module, 4 + count(r.dst) + 3 * count(r.dst) FILTER (r.dst LIKE 'supplier:%') + CASE WHEN m.stable_key = 'nation://4' THEN 100 ELSE 0 END AS score

@@ -137,9 +137,12 @@ def endpoint_registry(spark, sf):
     return Q.registry(graph(spark, sf), "symbol").select("id", "stable_key", "handler", joined("documents"))
 
 
-@query(sql("", "SELECT NULL::VARCHAR AS \"table\", NULL::VARCHAR AS id, NULL::VARCHAR AS issue WHERE false"))
+@query(sql("ent fact", "SELECT 'entities' AS \"table\", id, 'no ownership' AS issue FROM ent WHERE kind = 'class' UNION ALL SELECT 'facts', id, 'no evidence' FROM fact WHERE kind = 'error'"))
 def metadata_issues(spark, sf):
-    return Q.validate_metadata(graph(spark, sf))
+    """Classes have lost their owner, and facts of errors their evidence."""
+    g = graph(spark, sf)
+    lost = lambda df, column, kind: df.withColumn(column, F.when(F.col("kind") != kind, F.col(column)))
+    return Q.validate_metadata(g.with_tables(entities=lost(g.entities, "ownership", "class"), facts=lost(g.facts, "evidence", "error")))
 
 
 # --- aggregations
@@ -265,10 +268,10 @@ def adapter_metrics(spark, sf):
     return A.adapter_metrics(runs).withColumn("ms", F.round("ms", 4))
 
 
-@query(sql("ent fact diag", """SELECT path, 'entities' AS "table", string_agg(id, ',' ORDER BY id) AS ids FROM ent WHERE path IS NOT NULL GROUP BY path
-UNION ALL SELECT path, 'facts', string_agg(id, ',' ORDER BY id) FROM fact GROUP BY path UNION ALL SELECT path, 'diagnostics', string_agg(id, ',' ORDER BY id) FROM diag WHERE path IS NOT NULL GROUP BY path"""))
+@query(sql("ent fact rel diag", """SELECT path, "table", part, string_agg(id, ',' ORDER BY id) AS ids
+FROM (SELECT path, "table", id, ('0x' || left(md5(id), 8))::BIGINT % ((count(*) OVER (PARTITION BY path, "table") - 1) // 10000 + 1) AS part FROM owned WHERE path IS NOT NULL) GROUP BY ALL""", """owned AS (SELECT path, 'entities' AS "table", id FROM ent UNION ALL SELECT path, 'facts', id FROM fact UNION ALL SELECT path, 'relations', id FROM rel UNION ALL SELECT path, 'diagnostics', id FROM diag)"""))
 def path_index(spark, sf):
-    return A.path_index(graph(spark, sf)).where(F.col("table") != "relations").where("path is not null").withColumn("ids", F.array_join("ids", ","))
+    return A.path_index(graph(spark, sf)).where("path is not null").withColumn("ids", F.array_join("ids", ","))
 
 
 @query(sql("ent", "SELECT stable_key, string_agg(id, ',' ORDER BY id) AS ids FROM ent GROUP BY stable_key"))
