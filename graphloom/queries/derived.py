@@ -190,11 +190,12 @@ def check_ambiguous(spark, sf):
 
 
 @query("""SELECT user_id, coalesce(list_aggregate(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), 'string_agg', ','), '') AS missing, coalesce(list_aggregate(list_sort(list_filter(b, lambda x: NOT list_contains(a, x))), 'string_agg', ','), '') AS extra
-FROM (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY user_id) JOIN (SELECT user_id, list(DISTINCT event_type) AS b FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY user_id) USING (user_id) WHERE list_sort(a) <> list_sort(b)""")
+FROM (SELECT user_id, list(DISTINCT ts::DATE::VARCHAR) AS a FROM events WHERE event_type = 'purchase' GROUP BY user_id) JOIN (SELECT user_id, list(DISTINCT ts::DATE::VARCHAR) AS b FROM events WHERE event_type <> 'purchase' GROUP BY user_id) USING (user_id) WHERE list_sort(a) <> list_sort(b)""")
 def check_set_drift(spark, sf):
-    e = read(spark, sf, "events")
-    a = e.where("ts < timestamp '2024-01-16'").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
-    b = e.where("ts >= timestamp '2024-01-16'").groupBy("user_id").agg(F.collect_set("event_type").alias("b"))
+    """Days on which a user bought, against days on which they did anything else."""
+    e = read(spark, sf, "events").withColumn("day", F.to_date("ts").cast("string"))
+    a = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.collect_set("day").alias("a"))
+    b = e.where("event_type <> 'purchase'").groupBy("user_id").agg(F.collect_set("day").alias("b"))
     return C.set_drift(a, b, ["user_id"], "a", "b").select("user_id", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
