@@ -127,27 +127,32 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5].tolist()
 
 
-_MAPPED: dict[str, str] = {}
+_MAPPED: dict[str, list[np.ndarray]] = {}
 
 
 def mapped(folder: str, path: str, layout: list[tuple[str, int]]) -> list[np.ndarray]:
-    """Arrays of a file, memory-mapped: in the shared folder itself or, if that is a remote store, from a copy of the worker's own."""
+    """Arrays of a file, memory-mapped: in the shared folder itself or, if that is a remote store, from a copy of the worker's
+    own, which has no name any more once it is mapped and so goes with the worker."""
     from pyarrow import fs as pafs
 
     fs, _ = filesystem(folder)
-    local = path
-    if not isinstance(fs, pafs.LocalFileSystem):
-        if path not in _MAPPED:
-            with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as out:
-                while data := f.read(1 << 20):
-                    out.write(data)
-            _MAPPED[path] = out.name
-        local = _MAPPED[path]
-    out_, at = [], 0
+    if isinstance(fs, pafs.LocalFileSystem):
+        return _arrays(path, layout)
+    if path not in _MAPPED:
+        with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile() as out:
+            while data := f.read(1 << 20):
+                out.write(data)
+            out.flush()
+            _MAPPED[path] = _arrays(out.name, layout)
+    return _MAPPED[path]
+
+
+def _arrays(local: str, layout: list[tuple[str, int]]) -> list[np.ndarray]:
+    out, at = [], 0
     for kind, n in layout:
-        out_.append(np.memmap(local, kind, "r", at, (n,)) if n else np.zeros(0, kind))
+        out.append(np.memmap(local, kind, "r", at, (n,)) if n else np.zeros(0, kind))
         at += np.dtype(kind).itemsize * n
-    return out_
+    return out
 
 
 @dataclass
@@ -174,9 +179,9 @@ class Opened:
 
     def __init__(self, m: Model) -> None:
         self.m = m
-        self.words = {p: (mapped(m.folder, path, [("<u8", n), ("<u4", n)]), base) for p, path, n, base in m.words}
+        self.words = {p: (mapped(m.folder, path, [("<u8", n), ("<i8", n)]), base) for p, path, n, base in m.words}
         self.bigrams = {p: mapped(m.folder, path, [("<u8", n), ("<u8", over), ("<u8", over), ("u1", n)]) for p, path, n, over in m.bigrams}
-        self.contexts = {p: mapped(m.folder, path, [("<u8", n), ("<u4", n), ("<u4", n), ("<u4", n), ("<u4", n)]) for p, path, n in m.contexts}
+        self.contexts = {p: mapped(m.folder, path, [("<i8", n)] * 5) for p, path, n in m.contexts}
 
     def _each(self, keys: np.ndarray, parts: np.ndarray, tables: dict) -> Iterator[tuple[slice, object]]:
         cuts = np.searchsorted(parts, np.arange(self.m.parts + 1))
@@ -276,7 +281,7 @@ def _context_blocks(manifest: Iterator[pa.RecordBatch], folder: str, width: int)
                 cuts = np.searchsorted((ids // np.uint64(width)).astype(np.int64), np.arange(int(ids[-1]) // width + 2))
                 for r in np.nonzero(np.diff(cuts))[0]:
                     own = slice(cuts[r], cuts[r + 1])
-                    data = [pack(v[own].astype("<u4")) for v in values]
+                    data = [pack(v[own].astype("<i8")) for v in values]
                     sizes = np.array([role, *map(len, data)], "<u4").tobytes()
                     yield _row(BLOCK_NAMES, int(r), pack(delta(ids[own])), bytes([len(sizes)]) + sizes + b"".join(data))
 
@@ -290,8 +295,7 @@ def _dense(t: pa.Table, part: int, width: int, folder: str) -> pa.Table:
         for k, n in enumerate(sizes):
             out[4 * role + k][ids] += unpack(values[at : at + n])
             at += n
-    kinds = ("<u8", "<u4", "<u4", "<u4", "<u4")
-    return _written(folder, part, [o.astype(k) for o, k in zip(out, kinds, strict=True)], width, int(out[4].sum()), 0, _counts_of_counts(out[4]) + [int((out[4] > 2).sum())])
+    return _written(folder, part, [o.astype("<i8") for o in out], width, int(out[4].sum()), 0, _counts_of_counts(out[4]) + [int((out[4] > 2).sum())])
 
 
 def fit(docs: DataFrame, parts: int | None = None) -> Model:
@@ -306,9 +310,7 @@ def fit(docs: DataFrame, parts: int | None = None) -> Model:
 
     def words_file(key, t):
         keys, counts = _merged(t)
-        if counts.max() >= 1 << 32:
-            raise ValueError("a word's count does not fit in 32 bits")
-        return _written(folder, key[0].as_py(), [keys, counts.astype("<u4")], len(keys), int(counts.sum()), 0, [])
+        return _written(folder, key[0].as_py(), [keys, counts.astype("<i8")], len(keys), int(counts.sum()), 0, [])
 
     blocks = texts.mapInArrow(lambda it: _counted(it, parts, lambda h, n: h), BLOCK)
     files = sorted(blocks.groupBy("part").applyInArrow(words_file, FILE).collect(), key=lambda r: r["part"])

@@ -157,7 +157,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding): distinct rows with an id and a vector that is not null, zero, or holding null or non-finite numbers."""
     e = F.col("embedding")
     good = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(e, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long"), e.cast("array<float>").alias("embedding") if "double" not in dict(vectors.dtypes)["embedding"] else e).where(F.col("vec_id").isNotNull() & e.isNotNull() & good).distinct()
+    return vectors.select(F.col("vec_id").cast("long"), (e if dict(vectors.dtypes)["embedding"] == "array<float>" else e.cast("array<double>")).alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & good).distinct()
 
 
 def neighbours(vectors: DataFrame, asked: str = "vec_id % 20 = 0", k: int = 20) -> DataFrame:
