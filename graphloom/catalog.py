@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.queries import derived, files, graphs, reads, rules
+from graphloom.queries import derived, files, graphs, outputs, reads, rules
 
-_MODULES = (reads, graphs, derived, rules, files)
+_MODULES = (reads, graphs, derived, rules, outputs, files)
 
 
 def queries() -> dict:

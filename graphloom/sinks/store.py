@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.model import TABLES, KnowledgeGraph, conform, schema
-from graphloom.operators.incremental import MOST_BYTES, MOST_OBJECTS, size_guard
+from graphloom.operators.incremental import size_guard
 from graphloom.operators.query import validate_metadata
 from graphloom.plans.staging import delete, file_system
 
@@ -75,8 +75,9 @@ class Store:
         """The id of the next snapshot."""
         return f"snap_{max((s for _, s in self.list()), default=0) + 1:04d}"
 
-    def put(self, snapshot: str, g: KnowledgeGraph, objects: int = MOST_OBJECTS, size: int = MOST_BYTES, check: bool = True) -> None:
-        """Write all tables. Rows without ownership or evidence, too large a batch, or a committed snapshot are errors."""
+    def put(self, snapshot: str, g: KnowledgeGraph, objects: int | None = None, size: int | None = None, check: bool = True) -> None:
+        """Write all tables. Rows without ownership or evidence, a committed snapshot, or a batch of more than ``objects`` or ``size`` bytes,
+        if they are given, are errors."""
         if self._read(self._at(snapshot, "_COMMITTED")) is not None:
             raise ValueError(f"{snapshot} is committed")
         delete(self.spark, self._at(snapshot))
@@ -87,8 +88,8 @@ class Store:
             issues = [f"{r['table']} {r['id']}: {r['issue']}" for r in validate_metadata(written).orderBy("table", "id", "issue").limit(1000).collect()]
             if issues:
                 raise ValueError("; ".join(issues))
-            guard = size_guard(written, objects, size).first()
-            if not guard["within"]:
+            guard = size_guard(written, objects or 1 << 62, size or 1 << 62).first() if objects or size else None
+            if guard is not None and not guard["within"]:
                 raise ValueError(f"batch of {guard['objects']} objects and {guard['bytes']} bytes is over the limit")
 
     def commit(self, snapshot: str) -> None:

@@ -71,7 +71,8 @@ def hidden_files(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORE
 def scan(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORED, most: int = 64 << 20, hidden: bool = True) -> DataFrame:
     """All files below a folder of any file system that Spark reads, without ignored folders.
 
-    content is null where a file isn't UTF-8. Files over ``most`` bytes are listed without content and hash. Without ``hidden`` files
+    content is null where a file isn't UTF-8. Files over ``most`` bytes are listed without content, with a hash of another kind (XXH64),
+    so that a change of theirs is seen. Without ``hidden`` files
     below names that begin with . or _ are left out, and the driver lists nothing.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
@@ -83,7 +84,7 @@ def scan(spark: SparkSession, root: str, names: tuple[str, ...] = IGNORED, most:
     return files.where(~ignored(path, names)).select(
         path.alias("path"),
         language_hint(path).alias("language_hint"),
-        F.when(small, F.concat(F.lit("fnv1a64:"), fnv1a64_bytes(body))).alias("content_hash"),
+        F.when(small, F.concat(F.lit("fnv1a64:"), fnv1a64_bytes(body))).otherwise(F.concat(F.lit("xxh64:"), F.hex(F.xxhash64("content")))).alias("content_hash"),
         F.try_validate_utf8(body.cast("string")).alias("content"),
     )
 
