@@ -25,9 +25,11 @@ from pyspark.sql.window import Window
 
 from graphloom.llm.common import filesystem, fresh_dir, stage, table
 
-DIMENSIONS, SURE, SEED = 8, 0.97, 23
+DIMENSIONS, SURE, SEED = 16, 0.92, 23
 #: Vectors of a block and of a leaf of its tree; of the sample that the top of the tree is fitted on; queries of a task.
-BLOCK, LEAF, SAMPLED, ASKED = 4096, 256, 16_384, 512
+BLOCK, LEAF, SAMPLED, ASKED = 4096, 64, 16_384, 512
+#: Projected neighbours of a query that are verified between two tests.
+STEP = 128
 FOUND = "query_id long, rank int, vec_id long, score double"
 
 
@@ -93,6 +95,7 @@ def build(ids: np.ndarray, vectors: np.ndarray, most: float) -> dict[str, np.nda
     return {
         "ids": ids[order],
         "vectors": vectors[order],
+        "points": points[order],
         "starts": np.cumsum([0, *map(len, leaves)]),
         "low": np.stack([points[x].min(0) for x in leaves]),
         "high": np.stack([points[x].max(0) for x in leaves]),
@@ -108,6 +111,7 @@ class Search:
         self.level = (self.q * self.q).sum(1) + most**2
         self.score = np.full((len(ids), k), -np.inf)
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.verified = 0
 
     def far(self, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Squared projected distances (queries, boxes)."""
@@ -117,40 +121,40 @@ class Search:
 
     def open(self, bound: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Whether a vector better than the k-th may still lie beyond ``bound``: the stopping test fails."""
-        best = np.maximum(self.level[at] - 2 * self.score[at, -1], 1e-12)
+        best = np.maximum(self.level[at] - 2 * self.score[at, -1], 1e-9 * self.level[at])
         return chi_square(np.where(np.isinf(best), 0.0, bound / best)) < SURE
 
     def block(self, b: dict[str, np.ndarray], at: np.ndarray) -> None:
-        """Verify a block's leaves for queries ``at``, nearest first, until the test holds for each."""
-        far = self.far(b["low"], b["high"], at)
+        """Verify a block's vectors for queries ``at`` in the order of their projected distances, STEP at once, until the test
+        holds for the next one. Queries for which it holds for a leaf's box do not look at the leaf at all."""
+        near = self.open(self.far(b["low"], b["high"], at), at[:, None])
+        vectors, points, ids = b["vectors"].astype(np.float64), b["points"], b["ids"]
+        leaf = np.repeat(np.arange(len(b["low"])), np.diff(b["starts"]))
+        p = self.points[at]
+        far = np.maximum((p * p).sum(1)[:, None] + (points * points).sum(1) - 2 * (p @ points.T), 0.0)
+        far[~near[:, leaf]] = np.inf
         order = np.argsort(far, axis=1, kind="stable")
-        vectors = b["vectors"].astype(np.float64)
+        far = np.take_along_axis(far, order, 1)
         live = np.arange(len(at))
-        for r in range(order.shape[1]):
-            leaf = order[live, r]
-            keep = self.open(far[live, leaf], at[live])
-            live, leaf = live[keep], leaf[keep]
+        for r in range(0, far.shape[1], STEP):
+            live = live[self.open(far[live, r], at[live])]
             if not len(live):
                 return
-            for x in np.unique(leaf):
-                asked = at[live[leaf == x]]
-                rows = slice(b["starts"][x], b["starts"][x + 1])
-                self.offer(asked, self.q[asked] @ vectors[rows].T, b["ids"][rows])
+            rows = order[live, r : r + STEP]
+            score = np.einsum("qnd,qd->qn", vectors[rows], self.q[at[live]])
+            score[np.isinf(far[live, r : r + STEP])] = -np.inf
+            self.verified += int((score > -np.inf).sum())
+            self.offer(at[live], score, ids[rows])
 
     def offer(self, asked: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Merge scores of vectors, a row for each of the queries ``asked``, into the k best."""
         score = np.where(ids == self.own[asked][:, None], -np.inf, score)
-        row, col = np.nonzero((score >= self.score[asked, -1][:, None]) & (score > -np.inf))
-        if not len(row):
-            return
-        some = np.unique(row)
-        slot = np.searchsorted(some, row)
-        rows = np.concatenate([np.repeat(np.arange(len(some)), self.k), slot])
-        scores = np.concatenate([self.score[asked[some]].ravel(), score[row, col]])
-        found = np.concatenate([self.id[asked[some]].ravel(), ids[col]])
-        order = np.lexsort((found, -scores, rows))
-        first = np.searchsorted(rows[order], np.arange(len(some)))
-        pick = order[first[:, None] + np.arange(self.k)]
-        self.score[asked[some]], self.id[asked[some]] = scores[pick], found[pick]
+        some = np.nonzero(((score >= self.score[asked, -1][:, None]) & (score > -np.inf)).any(1))[0]
+        if len(some):
+            scores = np.concatenate([self.score[asked[some]], score[some]], 1)
+            found = np.concatenate([self.id[asked[some]], ids[some]], 1)
+            pick = np.lexsort((found, -scores), axis=1)[:, : self.k]
+            self.score[asked[some]], self.id[asked[some]] = np.take_along_axis(scores, pick, 1), np.take_along_axis(found, pick, 1)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
