@@ -269,6 +269,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: int
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; see ``hits`` for null
+    texts and ids, repeated rows and empty tables."""
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -371,6 +371,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of the training ones: doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
+    score. A null id counts as empty text in held_out; see ``fit`` and ``scores`` for null texts, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc() % 7 == 2
     model = fit(docs.where(~held_out))

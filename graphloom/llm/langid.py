@@ -203,6 +203,8 @@ def _runs(text) -> Iterator[slice]:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, held_out, lang_pred, score. A null id counts as empty text in held_out; see ``fit`` and
+    ``predict`` for null texts, ties, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc() % 3 == 1
     model = fit(docs.where(~held_out))

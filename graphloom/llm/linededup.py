@@ -295,6 +295,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat or nearly repeat earlier ones: doc_id, n_lines, n_repeat, n_near, n_kept, n_links; see
+    ``line_report`` for null texts and ids, repeated rows and empty tables."""
     return line_report(table(spark, sf_dir, "documents"))
 
 

@@ -289,6 +289,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: doc_id, size, source_size, target, taken; see ``mix`` for null sources, texts and ids,
+    repeated rows and empty tables."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -244,6 +244,8 @@ def _search(folder: str, batch: pa.RecordBatch, d: int, most: float, k: int) ->
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query: query_id, rank, vec_id, score; see ``neighbours`` for vectors that take no part, ties,
+    repeated ids and empty tables."""
     return neighbours(table(spark, sf_dir, "embeddings"))
 
 

@@ -280,6 +280,8 @@ OUT_NAMES = ["doc_id", "n_assign", "n_access", "n_hex", "n_grammar", "base_sha25
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: doc_id, n_assign, n_access, n_hex, n_grammar, base_sha256, spans; see ``learn`` and ``scan`` for
+    null and empty texts, repeated rows and empty tables."""
     docs = table(spark, sf_dir, "documents")
     return scan(docs, learn(docs))
 

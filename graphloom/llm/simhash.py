@@ -198,6 +198,8 @@ def keep_first(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document: doc_id, fingerprint, component_id; see ``near_duplicates`` for null, empty and
+    repeated rows, null ids and empty tables."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

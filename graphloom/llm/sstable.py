@@ -260,6 +260,8 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, end_id: int
 
 
 def op1_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as shards and read back: doc_id, start, n_tokens, ids_crc32; see ``encode_documents``
+    for null, empty and repeated rows, null ids and empty tables."""
     return encode_documents(table(spark, sf_dir, "documents"))
 
 

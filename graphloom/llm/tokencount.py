@@ -76,6 +76,8 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 512
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document: doc_id, n_bytes, n_tokens, over_limit; see ``token_counts`` for null texts and ids, repeated
+    rows and empty tables."""
     return token_counts(table(spark, sf_dir, "documents"))
 
 

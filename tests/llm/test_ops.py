@@ -762,3 +762,75 @@ def test_pipeline(spark, sf, docs, benchmark):
     assert counts[2] == {r["doc_id"] for r in decontaminate.report(left, benchmark).collect() if not r["contaminated"]}
     shards = c.run(spark, sf).collect()
     assert {r["doc_id"] for r in shards} == counts[3]
+
+
+def test_pipeline_against_brute_force(spark, sf, benchmark):
+    """Each stage after the first on what the one before kept, told without the operators."""
+    import corpus_pipeline as c
+
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = []
+    for _, f in c.STAGES[:-1]:
+        now = c.stage(f(spark, now, sf), "brute")
+        kept.append({r["doc_id"]: r for r in now.collect()})
+    spoken, unique, clean, mixed = kept
+
+    def fingerprint(text):
+        w = re.findall(rb"[^\x20\x09-\x0d]+", text.encode().lower())
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    prints = {d: fingerprint(r["text"]) for d, r in spoken.items()}
+    root = {d: d for d in prints}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in prints:
+        for b in prints:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert set(unique) == {find(d) for d in prints}
+    items = [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    hit = {h[0]: h for h in brute_hits([(d, r["text"]) for d, r in unique.items()], items)}
+    assert set(clean) == {d for d, h in hit.items() if not h[5]}
+    assert all(clean[d]["text"] == unique[d]["text"] for d in clean if not hit[d][2])
+    size, taken = Counter(), Counter()
+    for d, r in clean.items():
+        size[r["source"]] += len(r["text"].encode().split())
+    for d, r in mixed.items():
+        own, got = Counter(clean[d]["text"].encode().split()), Counter(r["text"].encode().split())
+        assert r["source"] == clean[d]["source"] and all(n <= 2 * own[w] for w, n in got.items())
+        taken[r["source"]] += sum(got.values())
+    want = dict.fromkeys(sorted(size), 0.0)
+    free, left = set(want), 1.5 * sum(size.values())
+    while free:
+        weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sorted(want)) if s in free}
+        share = left / sum(weight.values())
+        over = {s for s in free if share * weight[s] > 2 * size[s]}
+        for s in over or free:
+            want[s] = 2.0 * size[s] if over else share * weight[s]
+        left -= sum(want[s] for s in over)
+        free = free - over if over else set()
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    start, library = 0, Tokenizer.from_file(path_of("word_bpe_49k.json"))
+    for r in sorted(c.STAGES[-1][1](spark, now, sf).collect()):
+        ids = np.array([*library.encode(mixed[r["doc_id"]]["text"], add_special_tokens=False).ids, 1], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_pipeline_odd_rows(odd, none, benchmark, tmp_path):
+    """Nulls, empty and long texts, equal rows and clashing columns pass through all stages; an empty table gives no row."""
+    import corpus_pipeline as c
+
+    for name, rows in (("odd", odd), ("none", none)):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        benchmark.limit(20 if name == "odd" else 0).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    spark = odd.sparkSession
+    shards = c.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in shards} <= {1, 6, 7, None} and len({r["doc_id"] for r in shards}) == len(shards)
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
