@@ -198,35 +198,33 @@ def _staged_path(g: KnowledgeGraph, a: str, b: str, depth: int) -> list[tuple]:
 def pagerank(g: KnowledgeGraph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-8, kind: str | None = None, limit: int | None = None) -> DataFrame:
     """(rank, id, stable_key, kind, score): directed, parallel relations count, dangling mass is spread evenly.
 
-    Ends when the L1 change is at most ``tolerance``. ``kind`` only filters the output. Arcs are dealt out by source once and
-    kept on the executors' disks (a lost one's are dealt again from a staged table); a round moves scores and one partial sum for
-    each distinct target of a partition, writes the new scores and runs one small aggregation.
+    What dangling and teleporting walkers add is the same for every node, so scores are in proportion to the sum of a series:
+    one for every node, then ``damping`` times what each node's last term hands on along its relations. A round computes one term,
+    of the nodes that it reaches only, and writes it; the sum is scaled to one in the end. Rounds end after ``iterations``, or once a
+    term is at most ``tolerance`` of the sum (in L1). Arcs are dealt out by source once and kept on the executors' disks; a lost
+    one's are dealt again from a staged table. ``kind`` only filters the output.
     """
     spark = g.entities.sparkSession
-    ids = g.entities.select("id").distinct()
+    nodes = stage(g.entities.select("id").distinct(), "nodes")
+    total = float(nodes.count())
+    if not total:
+        return spark.createDataFrame([], "rank int, id string, stable_key string, kind string, score double" if limit is not None else "id string, stable_key string, kind string, score double")
     ends = g.relations.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    ends = stage(ends.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "ends")
+    ends = stage(ends.join(nodes.withColumnRenamed("id", "src"), "src", "left_semi").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi"), "ends")
     out = ends.groupBy("src").agg(F.sum("m").alias("outs"))
-    nodes = stage(ids.join(out, ids["id"] == out["src"], "left").select("id", F.col("outs").isNotNull().alias("gives")), "nodes")
-    row = nodes.agg(F.count("*").alias("n"), F.count_if("gives").alias("given")).first()
-    n = row["n"]
-    if not n:
-        return spark.createDataFrame([], "rank int, id string, stable_key string, kind string, score double" if limit is not None else "id string, stable_key string, kind string, score double")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     arcs = ends.join(out, "src").select("src", "dst", (F.col("m") / F.col("outs")).alias("share")).repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
-    scores, given = stage(nodes.withColumn("score", F.lit(1.0 / n)), "scores"), row["given"] / n
+    last = nodes.withColumn("term", F.lit(1.0))
+    terms = last
     for _ in range(iterations):
-        rest = (1 - damping) / n + damping * max(0.0, 1.0 - given) / n
-        gained = scores.where("gives").join(arcs, scores["id"] == arcs["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("g"))
-        score = F.lit(rest) + damping * F.coalesce("g", F.lit(0.0))
-        new = stage(scores.join(gained, scores["id"] == gained["dst"], "left").select("id", "gives", score.alias("score"), F.abs(score - F.col("score")).alias("moved")), "scores")
-        row = new.agg(F.sum("moved").alias("moved"), F.sum(F.when(F.col("gives"), F.col("score"))).alias("given")).first()
-        given = row["given"] or 0.0
-        unstage(scores)
-        scores = new.drop("moved")
-        scores._staged_path = new._staged_path  # type: ignore[attr-defined]
-        if row["moved"] <= tolerance:
+        handed = last.join(arcs, last["id"] == arcs["src"]).groupBy(F.col("dst").alias("id")).agg((damping * F.sum(F.col("term") * F.col("share"))).alias("term"))
+        last = stage(handed, "term")
+        moved = last.agg(F.sum("term")).first()[0] or 0.0
+        total += moved
+        terms = terms.union(last)
+        if moved <= tolerance * total:
             break
+    scores = stage(terms.groupBy("id").agg((F.sum("term") / total).alias("score")), "scores")
     arcs.unpersist()
     e = g.entities.select("id", "stable_key", display_kind().alias("kind"))
     if kind is not None:
