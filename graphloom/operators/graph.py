@@ -137,7 +137,7 @@ def related(g: KnowledgeGraph, stable_key: str, depth: int = 1, max_entities: in
     """
     start = id_of_key(g, stable_key)
     if max_entities is None:
-        hit = reached(edges_both_ways(g.relations), g.entities.sparkSession.createDataFrame([(start,)], "id string"), depth)
+        hit = reached(edges_both_ways(g.relations), g.entities.sparkSession.createDataFrame([(start,)], "id string"), depth, symmetric=True)
         return hit.join(g.entities.select("id", "stable_key"), "id").select("id", "stable_key", F.col("depth").alias("distance"))
     visits, _ = walk(g, [start], depth, max_entities)
     rows = sorted(((v.id, v.stable_key, v.depth) for v in visits), key=lambda r: (r[2], r[1]))
@@ -285,17 +285,28 @@ def oriented(relations: DataFrame) -> DataFrame:
     return f.union(relations.where(F.col("kind").isin(*BACKWARD)).select(F.col("dst").alias("a"), F.col("src").alias("b"), F.col("id").alias("rel"), F.lit(False).alias("forward")))
 
 
-def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, depth) of all that can be reached over ``edges`` (a, b) from ``starts`` (id): ``reach`` without its paths."""
-    new = stage(starts.select("id").distinct().withColumn("depth", F.lit(0)), "level")
-    levels, level = new, 0
+def reached(edges: DataFrame, starts: DataFrame, depth: int | None = None, symmetric: bool = False) -> DataFrame:
+    """(id, depth) of all that can be reached over ``edges`` (a, b) from ``starts`` (id): ``reach`` without its paths.
+
+    For many levels edges are dealt out once and kept on the executors' disks, so that a level moves its own ids only. Of ``symmetric``
+    edges a level's neighbours can be known from the last two levels alone.
+    """
     ways = edges.select("a", "b")
-    while (depth is None or level < depth) and not new.isEmpty():
-        level += 1
-        step = new.select(F.col("id").alias("a")).join(ways, "a").select(F.col("b").alias("id")).distinct()
-        new = stage(step.join(levels.select("id"), "id", "left_anti").withColumn("depth", F.lit(level)), "level")
-        levels = levels.union(new)
-    return levels
+    many = depth is None or depth > 2
+    if many:
+        ways = ways.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").persist(StorageLevel.DISK_ONLY)
+    levels = [stage(starts.select("id").distinct().withColumn("depth", F.lit(0)), "level")]
+    while (depth is None or len(levels) <= depth) and not levels[-1].isEmpty():
+        step = levels[-1].select(F.col("id").alias("a")).join(ways, "a").select(F.col("b").alias("id")).distinct()
+        for known in levels[-2:] if symmetric else levels:
+            step = step.join(known.select("id"), "id", "left_anti")
+        levels.append(stage(step.withColumn("depth", F.lit(len(levels))), "level"))
+    if many:
+        ways.unpersist()
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.union(x)
+    return out
 
 
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
@@ -352,7 +363,7 @@ def impact_files(g: KnowledgeGraph, hit: DataFrame) -> DataFrame:
 
 def closure(g: KnowledgeGraph, ids: DataFrame) -> DataFrame:
     """(id): all that is connected to ``ids`` over relations of any direction."""
-    return reached(edges_both_ways(g.relations), ids).select("id")
+    return reached(edges_both_ways(g.relations), ids, symmetric=True).select("id")
 
 
 def closure_graph(g: KnowledgeGraph, ids: DataFrame) -> KnowledgeGraph:
