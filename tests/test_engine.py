@@ -57,6 +57,39 @@ def test_path(spark):
         G.shortest_path(g, "k://a", "k://unknown")
 
 
+def test_staged_walks_are_as_the_drivers(spark):
+    """Without a cap: the same path, ties among ways included, and the same entities around one."""
+    g = small(spark, [("a", "calls", "c"), ("a", "calls", "b"), ("b", "calls", "d"), ("c", "contains", "d"), ("d", "calls", "e"), ("e", "calls", "e"), ("y", "calls", "z")])
+    for key in ("k://d", "k://e", "k://a", "k://z"):
+        assert G.shortest_path(g, "k://a", key, max_visited=None).collect() == G.shortest_path(g, "k://a", key).collect()
+    for depth in (1, 2, 4):
+        assert sorted(G.related(g, "k://b", depth, None).collect()) == sorted(G.related(g, "k://b", depth).collect())
+    assert {r["id"] for r in G.closure(g, spark.createDataFrame([("e",)], "id string")).collect()} == set("abcde")
+
+
+def test_graphml_and_change_files(spark):
+    g = small(spark, [("a", "calls", "b<c")])
+    nodes = G.export_nodes(g, 10)
+    text = "\n".join(r["line"] for r in sorted(G.graphml(nodes, G.export_edges(g, nodes, 10)).collect()))
+    import xml.etree.ElementTree as ET
+
+    found = [x for x in ET.fromstring(text).iter()]
+    assert [x.get("id") for x in found if x.tag.endswith("}node")] == ["a", "b<c"] and [(x.get("source"), x.get("target")) for x in found if x.tag.endswith("}edge")] == [("a", "b<c")]
+    items = spark.createDataFrame([("f", 5, "function", "k://1"), ("f", 9, "class", "k://2"), ("e", 9, "class", "k://3"), (None, 99, "class", "k://4")], "path string, score long, kind string, stable_key string")
+    assert [tuple(r) for r in R.change_files(items).collect()] == [("e", 9, ["class"], ["k://3"]), ("f", 9, ["class", "function"], ["k://1", "k://2"])]
+
+
+def test_pagerank_with_cycle_as_power_iteration(spark):
+    g = small(spark, [("a", "calls", "b"), ("b", "calls", "c"), ("c", "calls", "a"), ("c", "contains", "d"), ("c", "contains", "d2"), ("b", "imports", "c")])
+    got = {r["id"]: r["score"] for r in G.pagerank(g).collect()}
+    out = {"a": ["b"], "b": ["c", "c"], "c": ["a", "d", "d2"], "d": [], "d2": []}
+    x = dict.fromkeys(out, 0.2)
+    for _ in range(200):
+        rest = (0.15 + 0.85 * sum(x[i] for i in x if not out[i])) / 5
+        x = {i: rest + 0.85 * sum(x[j] * out[j].count(i) / len(out[j]) for j in x if out[j]) for i in x}
+    assert got == pytest.approx(x, abs=1e-7)
+
+
 def test_cycles(spark):
     g = small(spark, [("a", "calls", "b"), ("b", "calls", "a"), ("b", "calls", "c"), ("c", "calls", "a"), ("d", "calls", "d"), ("d", "calls", "a")])
     assert [(r["length"], r["relations"]) for r in G.cycles(g).collect()] == [(1, ["d-calls-d"]), (2, ["a-calls-b", "b-calls-a"]), (3, ["a-calls-b", "b-calls-c", "c-calls-a"])]
@@ -136,6 +169,8 @@ def test_openapi_same_in_both_formats():
     a = out(openapi.extract, "api.json", json.dumps(CONTRACT), "json")
     b = out(openapi.extract, "api.json", yaml.safe_dump(CONTRACT), "yaml")
     assert a == b
+    late = json.dumps({"components": {"schemas": {f"S{i}": {"type": "object"} for i in range(500)}}, "openapi": "3.0.0", "paths": {}})
+    assert late.index("openapi") > 4000 and openapi.supports(Source("late.json", "json", "h", late))
     p = by_kind(a, "api_endpoint")["api://POST:/login/{id}"]
     assert p["request_schemas"] == ["#/components/schemas/In"] and p["authentication_required"] and p["parameters"][0]["required"] and p["request_fields"] == [{"name": "name", "type": "string", "required": True}]
 
