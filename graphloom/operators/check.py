@@ -469,6 +469,9 @@ def contract_findings(g: KnowledgeGraph) -> DataFrame:
     ]
     p = m.select("id", "stable_key", "path", "module", F.explode("ports").alias("p")).join(code.withColumnRenamed("port", "code_port"), (F.col("p.trait") == F.col("code_port")) & (m["module"] == code["module"]), "left").drop(code["module"])
     rows.append(found(p.where("code_port is null"), "port_trait_missing", F.col("p.name"), "high"))
+    bare = g.facts.where("kind_other = 'fba_port_code'").select(F.col("subject").alias("id"), F.get_json_object("value", "$.module").alias("module"), F.get("evidence.source_file", F.lit(0)).alias("path"))
+    bare = bare.where("module is not null").join(m.select("module"), "module", "left_anti").groupBy("id", "module").agg(F.min("path").alias("path"))
+    rows.append(found(bare.withColumn("stable_key", F.concat(F.lit("fba_module://"), "module")), "code_without_registry"))
     live = p.where("code_port is not null")
     ops = F.transform(F.coalesce("p.operations", F.array().cast("array<struct<name:string,write:boolean,idempotent:boolean>>")), lambda o: o["name"])
     gone = live.withColumn("op", F.explode(F.array_except(ops, F.col("code_ops"))))

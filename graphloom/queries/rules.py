@@ -313,7 +313,7 @@ def contracts(spark, sf) -> KnowledgeGraph:
             entities(p, "fba_operation", "concat('fba_operation://m', s, '/store/get')", open_kind=True), entities(p, "fba_dependency", "concat('fba_dependency://', if(k % 6 = 0, 'other', concat('u', s)), '/', if(k % 8 = 0, 'nobody', concat('m', s)), '/', s)", own, open_kind=True),
             entities(p, "fba_module", "concat('fba_module://u', s)", "to_json(named_struct('evidence', array('x'), 'tests_locked', true, 'role', 'consumer'))", open_kind=True),
         ],
-        facts=[facts(p.where("k % 13 <> 0"), "fba_port_code", "concat('m', s)", code), facts(p, "fba_docs_status", "concat('m', s)", "to_json(named_struct('module', concat('m', s), 'status', 'ready'))")],
+        facts=[facts(p.where("k % 13 <> 0"), "fba_port_code", "concat('m', s)", code), facts(p.where("k % 17 = 0"), "fba_port_code", "concat('fba_code://x', s)", "to_json(named_struct('module', concat('x', s), 'port', 'Store', 'operations', array('get')))"), facts(p, "fba_docs_status", "concat('m', s)", "to_json(named_struct('module', concat('m', s), 'status', 'ready'))")],
     )
 
 
@@ -324,7 +324,7 @@ LIVE = "k % 11 <> 0 AND k % 13 <> 0"
 @query(findings(
     finding("fba_provider_without_ports", MODULE, "''", "k % 11 = 0"), finding("fba_evidence_missing", MODULE, "''", "k % 7 = 0"), finding("fba_tests_not_locked", MODULE, "''", "k % 4 <> 0"), finding("fba_port_trait_missing", MODULE, "'store'", "k % 11 <> 0 AND k % 13 = 0"),
     finding("fba_port_operation_missing", MODULE, "'store/put'", f"{LIVE} AND k % 9 = 0"), finding("fba_port_context_missing", MODULE, "'store'", f"{LIVE} AND k % 3 = 0"), finding("fba_port_error_missing", MODULE, "'store'", f"{LIVE} AND k % 5 = 0"),
-    finding("fba_operation_idempotency_unasserted", MODULE, "'store/put'", f"{LIVE} AND k % 2 = 1"),
+    finding("fba_operation_idempotency_unasserted", MODULE, "'store/put'", f"{LIVE} AND k % 2 = 1"), finding("fba_code_without_registry", "'fba_code://x' || k", "''", "k % 17 = 0"),
 ))
 def rule_contracts(spark, sf):
     return found(C.contract_findings(contracts(spark, sf)))
