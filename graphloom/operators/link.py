@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,19 +164,50 @@ def endpoint_implementations(g: KnowledgeGraph) -> DataFrame:
     return emit(equi(keyed(of_kind(g, "api_endpoint"), "src", named(op)), keyed(g.entities.where("kind = 'function'"), "dst", named(F.col("name")))), "implemented_by", 0.7, "inferred", "linker-api")
 
 
-def documents_endpoints(g: KnowledgeGraph) -> DataFrame:
+#: Most words that each task looks up in a text; beyond, texts and words meet in a join. Up to FEW each word is searched by itself.
+MOST_WORDS, FEW = 200_000, 64
+
+
+def held_words(text: Column, words: list[str]) -> Column:
+    """Those of ``words`` (each of three letters or more) that a text contains. A text is read once, for each length of the words that
+    begin with the three letters at hand."""
+    known, lengths = frozenset(words), {}
+    for w in known:
+        lengths.setdefault(w[:3], set()).add(len(w))
+
+    def of(t: str) -> list[str]:
+        if len(known) <= FEW:
+            return [w for w in known if w in t]
+        near = ((i, n) for i in range(len(t) - 2) for n in lengths.get(t[i : i + 3], ()))
+        return list({w for i, n in near if (w := t[i : i + n]) in known})
+
+    return F.arrow_udf(lambda a: pa.array([of(t) if t else [] for t in a.to_pylist()], pa.list_(pa.string())), NONE)(text)
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three letters of a text, in time of its length."""
+    return F.arrow_udf(lambda a: pa.array([list({t[i : i + 3] for i in range(len(t) - 2)}) if t else [] for t in a.to_pylist()], pa.list_(pa.string())), NONE)(text)
+
+
+def documents_endpoints(g: KnowledgeGraph, most: int = MOST_WORDS) -> DataFrame:
     """Pages and sections whose letters and digits contain an endpoint's operation id, else its last static path segment, else its first tag.
 
-    Candidates have three letters or more. A text's trigrams meet the first trigram of a candidate, then the
-    whole candidate is verified: an equi-join, not every text with every endpoint.
+    Candidates have three letters or more. Up to ``most`` distinct ones are looked up in each text where it lies. Of more, a text's
+    trigrams meet the first trigram of a candidate, then the whole candidate is verified: an equi-join, not every text with every endpoint.
     """
     names = F.array(normalized(field("operation_id")), normalized(static_segment(field("path"))), normalized(F.get(strings("tags"), F.lit(0))))
     many = F.filter(F.transform(names, lambda c, n: F.struct(n.alias("prio"), c.alias("word"))), lambda s: F.length(s["word"]) >= 3)
-    ends = of_kind(g, "api_endpoint").select(F.col("id").alias("dst"), F.col("stable_key").alias("dst_key"), F.col("source.path").alias("dst_path"), F.explode(many).alias("c")).select("*", "c.prio", "c.word").withColumn("key", F.substring("word", 1, 3)).drop("c")
+    ends = of_kind(g, "api_endpoint").select(F.col("id").alias("dst"), F.col("stable_key").alias("dst_key"), F.col("source.path").alias("dst_path"), F.explode(many).alias("c")).select("*", "c.prio", "c.word").drop("c")
     text = normalized(F.concat_ws(" ", "name", "title", "aliases", field("text")))
     docs = of_kind(g, "documentation_page", "documentation_section").select(F.col("id").alias("src"), F.col("stable_key").alias("src_key"), F.col("source.path").alias("src_path"), "kind", text.alias("text")).where(F.length("text") >= 3)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring(F.col("text"), i, F.lit(3))))
-    found = docs.select("src", F.explode(grams).alias("key")).join(ends, "key").drop("key").join(docs, "src").where(F.contains("text", F.col("word")))
+    words = [r["word"] for r in ends.select("word").distinct().limit(most + 1).collect()]
+    if not words:
+        docs = docs.limit(0)
+    if len(words) <= most:
+        found = docs.select("src", "src_key", "src_path", "kind", F.explode(held_words(F.col("text"), words)).alias("word")).join(ends, "word")
+    else:
+        first = ends.withColumn("key", F.substring("word", 1, 3))
+        found = docs.select("src", F.explode(trigrams(F.col("text"))).alias("key")).join(first, "key").drop("key").join(docs, "src").where(F.contains("text", F.col("word")))
     pairs = found.select("src", "src_key", "src_path", "kind", "dst", "dst_key", "dst_path").distinct()
     section = pairs.where("kind = 'documentation_section'")
     return emit(section, "documents_operation", 0.5, "inferred", "linker-api").unionByName(emit(pairs.where("kind = 'documentation_page'"), "documents_api", 0.5, "inferred", "linker-api"))

@@ -19,3 +19,15 @@ def test_projection_writes_only_pairs(spark, sf, monkeypatch):
     assert "c_custkey" in plan and "o_orderkey" not in plan
     h = g.with_tables(entities=g.entities.limit(1))
     assert h.relations.count() and g.relations.count() and names == ["pairs", "pairs"]
+
+
+def test_text_contains_looked_up_or_joined(spark):
+    from graphloom.operators.link import documents_endpoints
+    from graphloom.queries.rules import entities, graph_of
+
+    texts = spark.createDataFrame([(1, "one getParts two"), (2, "x" * 40000), (3, "get part é"), (4, "a")], "k int, t string")
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(["getParts", "xxxx", "rté", "none"])], "k int, t string")
+    g = graph_of(spark, [entities(texts, "documentation_page", "concat('doc:', k)", "to_json(named_struct('text', t))", "''", "'p'"), entities(words, "api_endpoint", "concat('end:', k)", "to_json(named_struct('operation_id', t))", "''", "'p'")])
+    want = [("doc:1", "end:0"), ("doc:2", "end:1"), ("doc:3", "end:2")]
+    for most in (100, 1):
+        assert sorted(tuple(r) for r in documents_endpoints(g, most).select("src", "dst").collect()) == want
