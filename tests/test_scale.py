@@ -21,6 +21,16 @@ def test_projection_writes_only_pairs(spark, sf, monkeypatch):
     assert h.relations.count() and g.relations.count() and names == ["pairs", "pairs"]
 
 
+def test_fnv_of_batches():
+    import pyarrow as pa
+
+    from graphloom.functions.text import fnv_of
+    from graphloom.sources.extract import fnv
+
+    xs = [None, "", "é" * 50] + ["ab" * k for k in range(60)]
+    assert fnv_of(pa.array(xs, pa.string()).slice(1)).to_pylist() == [fnv(x) for x in xs[1:]] and fnv_of(pa.array(xs)).to_pylist()[0] is None
+
+
 def test_text_contains_looked_up_or_joined(spark):
     from graphloom.operators.link import documents_endpoints
     from graphloom.queries.rules import entities, graph_of
