@@ -246,7 +246,8 @@ INDEXED = 10_000
 
 def path_index(g: KnowledgeGraph, most: int = INDEXED) -> DataFrame:
     """(path, table, part, ids): which rows of each table a file owns. A file of many has several parts, dealt by the MD5 of
-    the id, of about ``most`` ids each."""
+    the id, of about ``most`` ids each. Such files are at most one for ``most`` rows, so they are broadcast, and no row moves before its
+    part is known."""
     rows = None
     for name in ("entities", "facts", "relations", "diagnostics"):
         own = getattr(g, name).select(F.explode(F.array_distinct(_paths("ownership"))).alias("path"), F.lit(name).alias("table"), "id")
@@ -254,8 +255,8 @@ def path_index(g: KnowledgeGraph, most: int = INDEXED) -> DataFrame:
     parts = rows.groupBy("path", "table").agg((F.floor((F.count("*") - 1) / most) + 1).alias("parts"))
     hot = parts.where("parts > 1")
     number = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long")
-    dealt = rows.join(hot, ["path", "table"], "left").withColumn("part", F.coalesce(F.pmod(number, F.col("parts")), F.lit(0)))
-    return dealt.groupBy("path", "table", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    dealt = rows.join(F.broadcast(hot), ["path", "table"], "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(number, F.col("parts"))).otherwise(F.lit(0)))
+    return dealt.drop("parts").repartition("path", "table", "part").groupBy("path", "table", "part").agg(F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def key_index(g: KnowledgeGraph) -> DataFrame:

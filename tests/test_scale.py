@@ -43,6 +43,12 @@ def test_text_contains_looked_up_or_joined(spark):
         assert sorted(tuple(r) for r in documents_endpoints(g, most).select("src", "dst").collect()) == want
 
 
+def test_index_of_paths_broadcasts_hot_ones(spark, sf):
+    from graphloom.operators.aggregate import path_index
+
+    assert "strategy=broadcast" in path_index(testdata.graph(spark, sf), 50)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_read_model_is_packed(spark, sf, tmp_path):
     from graphloom.sinks.store import read_model, write_read_model
 
