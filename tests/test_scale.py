@@ -49,6 +49,19 @@ def test_index_of_paths_broadcasts_hot_ones(spark, sf):
     assert "strategy=broadcast" in path_index(testdata.graph(spark, sf), 50)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_cycles_walk_from_their_least_start(spark, monkeypatch):
+    from graphloom.operators import graph as G
+    from graphloom.queries.rules import entities, graph_of, relations
+
+    n = spark.createDataFrame([(str(i), str((i + 1) % 4)) for i in range(4)] + [("4", "4")], "s string, t string")
+    g = graph_of(spark, [entities(n, "symbol", "s")], [relations(n, "calls", "s", "t")])
+    seen, plain = [], G.stage
+    monkeypatch.setattr(G, "stage", lambda df, name: (out := plain(df, name), seen.append((name, out.count())))[0])
+    assert sorted(r["length"] for r in G.cycles(g, max_starts=None, limit=None).collect()) == [1, 4]
+    assert sum(k for name, k in seen if name == "paths") <= 10
+    assert [r["length"] for r in G.cycles(g, max_starts=1, limit=None).collect()] == [4]
+
+
 def test_read_model_is_packed(spark, sf, tmp_path):
     from graphloom.sinks.store import read_model, write_read_model
 
