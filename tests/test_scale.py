@@ -58,6 +58,15 @@ def test_memory_store_caches_nothing(spark, sf):
     assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
 
 
+def test_owners_are_told_before_rows_move(spark, sf):
+    from graphloom.operators.query import owned_by
+
+    r = testdata.graph(spark, sf).relations
+    none, some = (spark.createDataFrame([(p,)], "path string") for p in ("docs/none", "edges/calls"))
+    assert owned_by(r, none, keep=False) is r and owned_by(r, none).count() == 0
+    assert owned_by(r, some).count() == r.where("kind = 'calls'").count()
+
+
 def test_cycles_walk_from_their_least_start(spark, monkeypatch):
     from graphloom.operators import graph as G
     from graphloom.queries.rules import entities, graph_of, relations
