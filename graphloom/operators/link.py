@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import fnv1a64, named_type, normalized, parent_name, resolved_path, static_segment
 from graphloom.model import EVIDENCE, KnowledgeGraph, conform
+from graphloom.plans.staging import stage
 
 JS_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 NONE = "array<string>"
@@ -374,9 +375,10 @@ LINKERS: dict[str, list[Callable[[KnowledgeGraph], DataFrame]]] = {
 
 def either_end(relations: DataFrame, affected: DataFrame) -> DataFrame:
     """Relations of which an end is affected (id), each id once."""
-    a = relations.join(affected.select(F.col("id").alias("src")), "src", "left_semi").select("id")
-    b = relations.join(affected.select(F.col("id").alias("dst")), "dst", "left_semi").select("id")
-    return relations.join(a.union(b).distinct(), "id", "left_semi").dropDuplicates(["id"])
+    names, affected = relations.columns, stage(affected.select("id").distinct(), "affected")
+    a = relations.join(affected.select(F.col("id").alias("src")), "src", "left_semi").select(*names)
+    b = relations.join(affected.select(F.col("id").alias("dst")), "dst", "left_semi").select(*names)
+    return a.union(b).dropDuplicates(["id"])
 
 
 def rule_rows(g: KnowledgeGraph, linkers: dict[str, list[Callable[[KnowledgeGraph], DataFrame]]]) -> DataFrame | None:

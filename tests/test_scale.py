@@ -67,6 +67,15 @@ def test_owners_are_told_before_rows_move(spark, sf):
     assert owned_by(r, some).count() == r.where("kind = 'calls'").count()
 
 
+def test_either_end_joins_twice(spark):
+    from graphloom.operators.link import either_end
+
+    r = spark.createDataFrame([("r1", "a", "b"), ("r2", "b", "c"), ("r3", "c", "d"), ("r4", "a", "a")], "id string, src string, dst string")
+    out = either_end(r, spark.createDataFrame([("a",), ("b",)], "id string"))
+    assert sorted(x["id"] for x in out.collect()) == ["r1", "r2", "r4"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
+
+
 def test_cycles_walk_from_their_least_start(spark, monkeypatch):
     from graphloom.operators import graph as G
     from graphloom.queries.rules import entities, graph_of, relations
