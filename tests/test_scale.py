@@ -96,3 +96,11 @@ def test_read_model_is_packed(spark, sf, tmp_path):
     write_read_model(g, f"file://{tmp_path}/m")
     assert list(tmp_path.glob("m/relations/*.json.gz")) and not list(tmp_path.glob("m/relations/*.json"))
     assert read_model(spark, f"file://{tmp_path}/m").relations.count() == g.relations.count()
+
+
+def test_graph_view_ranks_nodes_once(spark, sf, monkeypatch):
+    from graphloom.sinks import render
+
+    names = staged_by(monkeypatch, render)
+    render.graph_view(testdata.graph(spark, sf))
+    assert names == ["nodes"]
