@@ -104,3 +104,28 @@ def test_graph_view_ranks_nodes_once(spark, sf, monkeypatch):
     names = staged_by(monkeypatch, render)
     render.graph_view(testdata.graph(spark, sf))
     assert names == ["nodes"]
+
+
+def rows_staged(monkeypatch, module):
+    """(name, rows) of the tables that a module stages from now on."""
+    seen, plain = [], module.stage
+    monkeypatch.setattr(module, "stage", lambda df, name: (out := plain(df, name), seen.append((name, out.count())))[0])
+    return seen
+
+
+def small_graph(spark, nodes, edges):
+    from graphloom.queries.rules import entities, graph_of, relations
+
+    n = spark.createDataFrame([(x,) for x in nodes], "s string")
+    e = spark.createDataFrame(edges, "s string, t string")
+    return graph_of(spark, [entities(n, "symbol", "s")], [relations(e, "calls", "s", "t")])
+
+
+def test_bundle_looks_up_keys_of_shown_modules_only(spark, sf, monkeypatch):
+    from graphloom.sinks import render
+
+    seen = rows_staged(monkeypatch, render)
+    g = testdata.graph(spark, sf)
+    render.architecture_bundle(g, spark.createDataFrame([("nation://3", 1), ("nation://none", 0)], "module string, score int"))
+    want = g.relations.where("src = 'nation:3' or dst = 'nation:3'").count()
+    assert seen[0] == ("near", want) and 0 < want == seen[1][1] - 1
