@@ -170,29 +170,72 @@ def shortest_path(g: KnowledgeGraph, source_key: str, target_key: str, max_depth
 
 
 def _staged_path(g: KnowledgeGraph, a: str, b: str, depth: int) -> list[tuple]:
-    """The hops of ``walk``'s path: of all shortest ways the first by the keys on it, then by relation ids. A level keeps
-    ids, keys of the way so far (which is the order of discovery) and the hop into each id; the way is followed back at the end."""
+    """The hops of ``walk``'s path: of all shortest ways the first by the keys on it, then by relation ids.
+
+    Levels are staged from both ends, the smaller next, until they meet. Keys of the way so far (which is the order of discovery) and
+    the hop into each id are then kept only for ids on a shortest way, whose relations are read once; the way is followed back at the end.
+    """
     spark = g.entities.sparkSession
-    keys = g.entities.select(F.col("id").alias("b"), "stable_key")
+    if a == b:
+        return []
     edges = edges_both_ways(g.relations)
-    new = stage(keys.where(F.col("b") == a).select(F.col("b").alias("id"), F.array("stable_key").alias("way"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("boolean").alias("forward")), "way")
-    levels, seen = [new], new.select("id")
-    for _ in range(depth):
-        if a == b or not new.where(F.col("id") == b).isEmpty() or new.isEmpty():
+    sides = [[stage(spark.createDataFrame([(x,)], "id string"), "side")] for x in (a, b)]
+    pairs, sizes, met = ([], []), [1, 1], None
+    while len(sides[0]) + len(sides[1]) - 2 < depth and all(sizes):
+        own = sizes[1] < sizes[0]
+        near, level = _entities_next(g, edges.select("a", "b"), sides[own][-2:])
+        pairs[own].append(near)
+        sides[own].append(level)
+        sizes[own] = level.count()
+        met = sides[0][-1].join(sides[1][-1], "id", "left_semi")
+        if not met.isEmpty():
             break
+    else:
+        return []
+    met = stage(met, "on")
+    hops = []  # (a, b) of each hop on a shortest way, from the start on
+    for own in (0, 1):
+        ids = met
+        for near in reversed(pairs[own]):
+            on = stage(near.join(_few(ids.select(F.col("id").alias("b"))), "b", "left_semi").select("a", "b").distinct(), "on")
+            hops = [*hops, on.toDF("b", "a")] if own else [on, *hops]
+            ids = on.select(F.col("a").alias("id")).distinct()
+    used = None
+    for n, on in enumerate(hops, 1):
+        on = on.select("a", "b", F.lit(n).alias("hop"))
+        used = on if used is None else used.unionByName(on)
+    used = _few(stage(used, "on"))
+    ways = stage(edges.join(used, ["a", "b"]).select("hop", "a", "b", "rel", "forward"), "on")
+    ids = _few(stage(used.select(F.col("b").alias("id")).distinct(), "on"))
+    keys = stage(g.entities.select("id", "stable_key").join(ids, "id", "left_semi"), "keys")
+    new = g.entities.where(F.col("id") == a).select("id", F.array("stable_key").alias("way"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("rel"), F.lit(None).cast("boolean").alias("forward"))
+    levels = [stage(new, "way")]
+    for n in range(1, len(hops) + 1):
         best = F.min(F.struct("way", "rel", "a", "forward")).alias("v")
-        step = new.select(F.col("id").alias("a"), "way").join(edges, "a").groupBy("b").agg(best).join(seen.withColumnRenamed("id", "b"), "b", "left_anti").join(keys, "b")
-        new = stage(step.select(F.col("b").alias("id"), F.array_append("v.way", F.col("stable_key")).alias("way"), F.col("v.a").alias("parent"), F.col("v.rel").alias("rel"), F.col("v.forward").alias("forward")), "way")
-        levels.append(new)
-        seen = seen.union(new.select("id"))
-    hops, at = [], b
+        step = ways.where(F.col("hop") == n).join(levels[-1].select(F.col("id").alias("a"), "way"), "a").groupBy(F.col("b").alias("id")).agg(best).join(keys, "id")
+        levels.append(stage(step.select("id", F.array_append("v.way", F.col("stable_key")).alias("way"), F.col("v.a").alias("parent"), F.col("v.rel").alias("rel"), F.col("v.forward").alias("forward")), "way"))
+    out, at = [], b
     for n in range(len(levels) - 1, 0, -1):
         row = levels[n].where(F.col("id") == at).select("parent", "rel", "forward").first()
-        if row is None:
-            return []
-        hops.append((n, row["rel"], row["forward"], row["parent"], at))
+        out.append((n, row["rel"], row["forward"], row["parent"], at))
         at = row["parent"]
-    return hops
+    return out
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Staged rows, broadcast if they are no more than a capped walk's."""
+    return F.broadcast(df) if df.limit(MOST_VISITED + 1).count() <= MOST_VISITED else df
+
+
+def _entities_next(g: KnowledgeGraph, edges: DataFrame, last: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(a, b) and (id), staged: edges from the last of a walk's two ``last`` levels to ids in neither, and of these the entities. Few ids
+    are looked up where relations and entities lie: no row of either moves."""
+    near = edges.join(_few(last[-1]).withColumnRenamed("id", "a"), "a")
+    for known in last:
+        near = near.join(_few(known).withColumnRenamed("id", "b"), "b", "left_anti")
+    near = stage(near.select("a", "b"), "near")
+    ids = _few(near.select(F.col("b").alias("id")).distinct())
+    return near, stage(g.entities.select("id").join(ids, "id", "left_semi").distinct(), "side")
 
 
 def pagerank(g: KnowledgeGraph, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-8, kind: str | None = None, limit: int | None = None) -> DataFrame:

@@ -129,3 +129,16 @@ def test_bundle_looks_up_keys_of_shown_modules_only(spark, sf, monkeypatch):
     render.architecture_bundle(g, spark.createDataFrame([("nation://3", 1), ("nation://none", 0)], "module string, score int"))
     want = g.relations.where("src = 'nation:3' or dst = 'nation:3'").count()
     assert seen[0] == ("near", want) and 0 < want == seen[1][1] - 1
+
+
+def test_path_keeps_ways_of_the_path_only(spark, monkeypatch):
+    from graphloom.operators import graph as G
+
+    leaves = [f"l{i}" for i in range(40)]
+    g = small_graph(spark, ["a", "b", "c", "d", *leaves], [("a", "c"), ("c", "d"), ("b", "d"), *(("a", x) for x in leaves), *((x, "gone") for x in leaves)])
+    seen = rows_staged(monkeypatch, G)
+    ids = {r["stable_key"]: r["id"] for r in g.entities.collect()}
+    a, b = "a", "b"
+    assert [(r["hop"], r["src"], r["dst"]) for r in G.shortest_path(g, a, b, 6, None).collect()] == [(1, ids["a"], ids["c"]), (2, ids["c"], ids["d"]), (3, ids["d"], ids["b"])]
+    assert sum(n for name, n in seen if name == "way") == 4
+    assert not G.shortest_path(g, a, b, 2, None).collect()
