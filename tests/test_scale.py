@@ -160,3 +160,12 @@ def test_pagerank_hands_on_once_without_cycles(spark, monkeypatch):
     got = {keys[r["id"]]: r["score"] for r in G.pagerank(g).collect()}
     assert got.keys() == score.keys() and all(abs(got[n] - score[n]) < 1e-9 for n in nodes)
     assert sum(n for name, n in seen if name == "term") == 0
+
+
+def test_wiki_deals_rows_out_once(spark, sf):
+    """Rows of each end are dealt out by the end whose key is looked up, and once by node: not again for keys, nor for lists."""
+    from graphloom.sinks.render import wiki_pages
+
+    plan = wiki_pages(testdata.graph(spark, sf)).select("path", "text")._jdf.queryExecution().optimizedPlan().toString()
+    window = plan.index("Window [row_number()")
+    assert "Join LeftOuter" in plan[window:] and "Join" not in plan[plan.rindex("Aggregate", 0, window) : window]
