@@ -169,3 +169,17 @@ def test_wiki_deals_rows_out_once(spark, sf):
     plan = wiki_pages(testdata.graph(spark, sf)).select("path", "text")._jdf.queryExecution().optimizedPlan().toString()
     window = plan.index("Window [row_number()")
     assert "Join LeftOuter" in plan[window:] and "Join" not in plan[plan.rindex("Aggregate", 0, window) : window]
+
+
+def test_query_stems_its_own_words_only(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import rank as R
+
+    d = spark.createDataFrame([("a", "Flies", "classes of supplied stories, running"), ("b", "fly", "class story run supply quickly"), ("c", "", None)], "id string, title string, body string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for q in ("fly story", "class supplying", "runs of y", ""):
+        whole, few = R.postings(d, True), R.postings(d, True, q)
+        assert rows(few[0].where(F.col("term").isin(*R.asked(spark, q, True), ""))) == rows(whole[0].where(F.col("term").isin(*R.asked(spark, q, True), "")))
+        assert rows(R.bm25(few, q, None, True)) == rows(R.bm25(whole, q, None, True))
+    assert {r["term"] for r in R.postings(d, True, "fly story")[0].collect()} == {"fly", "story"}
