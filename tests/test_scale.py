@@ -183,3 +183,13 @@ def test_query_stems_its_own_words_only(spark):
         assert rows(few[0].where(F.col("term").isin(*R.asked(spark, q, True), ""))) == rows(whole[0].where(F.col("term").isin(*R.asked(spark, q, True), "")))
         assert rows(R.bm25(few, q, None, True)) == rows(R.bm25(whole, q, None, True))
     assert {r["term"] for r in R.postings(d, True, "fly story")[0].collect()} == {"fly", "story"}
+
+
+def test_tests_are_looked_up_for_shown_rows_only(spark, monkeypatch):
+    from graphloom.operators import rank as R
+
+    g = small_graph(spark, list("abcdef"), [("a", "b"), ("c", "d"), ("d", "e"), ("e", "f")])
+    seen, plain = [], R.tests_per_entity
+    monkeypatch.setattr(R, "tests_per_entity", lambda h: (seen.append(h.relations.count()), plain(h))[1])
+    seeds = spark.createDataFrame([("a", 1200, "target")], "id string, score long, reasons string")
+    assert R.change_map(g, seeds, 2, 30).count() == 2 and seen == [1]
