@@ -42,6 +42,11 @@ class KnowledgeGraph:
     def empty(spark: SparkSession) -> KnowledgeGraph:
         return KnowledgeGraph(**{t: spark.createDataFrame([], s) for t, s in TABLES.items()})
 
+    @property
+    def ends(self) -> DataFrame:
+        """(src, dst) of relations; a pair may come more often than there are relations of it."""
+        return self.relations.select("src", "dst")
+
     def with_tables(self, **tables: DataFrame) -> KnowledgeGraph:
         return replace(self, **tables)
 

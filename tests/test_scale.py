@@ -193,3 +193,25 @@ def test_tests_are_looked_up_for_shown_rows_only(spark, monkeypatch):
     monkeypatch.setattr(R, "tests_per_entity", lambda h: (seen.append(h.relations.count()), plain(h))[1])
     seeds = spark.createDataFrame([("a", 1200, "target")], "id string, score long, reasons string")
     assert R.change_map(g, seeds, 2, 30).count() == 2 and seen == [1]
+
+
+def test_closure_walks_packed_ids(spark, sf, monkeypatch):
+    from graphloom.operators import graph as G
+
+    # A start that is no end, ends that are no entities, numbers that are not written plainly, a null end.
+    edges = [(1, 2), (3, 2), (3, 4), (5, 6), (6, 5), (8, None), (9, 9)]
+    forms = {"long": lambda i: f"ent_{i * 0x1FFFFFFFFFFFFFFF % 2**64:016x}", "number": lambda i: f"{'nm'[i % 2]}:{i}", "mixed": lambda i: f"n:0{i}" if i == 4 else f"n:{i}", "plain": lambda i: f"x{i}"}
+    monkeypatch.setattr(G, "reached", lambda *a, plain=G.reached, **k: (walked.append(1), plain(*a, **k))[1])
+    for name, form in forms.items():
+        walked = []
+        nodes = [form(i) for i in (1, 2, 3, 5, 6, 8, 9)]
+        g = small_graph(spark, nodes, [(form(s), None if t is None else form(t)) for s, t in edges])
+        for starts, want in (([2], [1, 2, 3, 4]), ([5, 7, 9], [5, 6, 7, 9]), ([8], [8]), ([], [])):
+            got = [r["id"] for r in G.closure(g, spark.createDataFrame([(form(i),) for i in starts], "id string")).collect()]
+            assert sorted(got) == sorted(map(form, want)), name
+        assert bool(walked) == (name in ("mixed", "plain"))
+    names = staged_by(monkeypatch, testdata)
+    monkeypatch.setattr(testdata, "_SNAPSHOTS", {})
+    g = testdata.graph(spark, sf)
+    assert {r["id"] for r in G.closure(g, spark.createDataFrame([("document:7",)], "id string")).collect()} > {"document:7", "part:7"} and names == []
+    assert g.with_tables(relations=g.relations.limit(1)).ends.count() == 1 and g.with_tables(facts=g.facts).ends.distinct().count() == g.relations.select("src", "dst").distinct().count()
