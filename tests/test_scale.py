@@ -215,3 +215,18 @@ def test_closure_walks_packed_ids(spark, sf, monkeypatch):
     g = testdata.graph(spark, sf)
     assert {r["id"] for r in G.closure(g, spark.createDataFrame([("document:7",)], "id string")).collect()} > {"document:7", "part:7"} and names == []
     assert g.with_tables(relations=g.relations.limit(1)).ends.count() == 1 and g.with_tables(facts=g.facts).ends.distinct().count() == g.relations.select("src", "dst").distinct().count()
+
+
+def test_files_of_one_row_group_are_dealt_out(spark, sf):
+    from pyspark.sql import functions as F
+
+    from graphloom.queries.files import sources
+    from graphloom.sources.extract import fnv, run
+    from graphloom.sources.extractors import EXTRACTORS
+
+    assert testdata.read(spark, sf, "part").rdd.getNumPartitions() == 1
+    rows = run(sources(spark, sf), list(EXTRACTORS)).where("kind in ('module', 'db_migration', 'documentation_page')")
+    spread = [r["kind"] for r in rows.select("kind", F.spark_partition_id().alias("part")).distinct().collect()]
+    assert all(spread.count(k) > 1 for k in ("module", "documentation_page"))
+    f = run(sources(spark, sf).where("path = 'src/part1.ts'"), list(EXTRACTORS)).where("table = 'facts'").collect()
+    assert len(f) == 4 and all(r["id"] == "fact_" + fnv("\0".join((r["kind"], r["subject"], r["object"], r["path"], str(r["line_start"]), r["value"]))) for r in f)
