@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.model import KnowledgeGraph, conform
 from graphloom.operators import check as C
 from graphloom.operators import link as L
-from graphloom.sources.testdata import read
+from graphloom.sources.testdata import dealt, read
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(oracle: str):
 
 
 def parts(spark, sf) -> DataFrame:
-    return read(spark, sf, "part").selectExpr("*", "p_partkey as k", "cast(p_partkey as string) as s")
+    return dealt(read(spark, sf, "part"), "p_partkey").selectExpr("*", "p_partkey as k", "cast(p_partkey as string) as s")
 
 
 def entities(df: DataFrame, kind: str, key: str, payload: str = "'{}'", name: str = "s", path: str = "concat('src/', s)", open_kind: bool = False) -> DataFrame:
@@ -419,7 +419,7 @@ def rule_rust_calls(spark, sf):
 @query(_arc("tested_by", _symbol("k || '::g'"), _symbol("k || '::t'")))
 def rule_rust_tested_by(spark, sf):
     g = crates(spark, sf)
-    return linked(L.tested_by(g, L.finished(L.rust_calls(g))))
+    return linked(L.tested_by(g, L.rust_calls(g)))
 
 
 def contracts_of_parts(spark, sf) -> KnowledgeGraph:

@@ -230,3 +230,10 @@ def test_files_of_one_row_group_are_dealt_out(spark, sf):
     assert all(spread.count(k) > 1 for k in ("module", "documentation_page"))
     f = run(sources(spark, sf).where("path = 'src/part1.ts'"), list(EXTRACTORS)).where("table = 'facts'").collect()
     assert len(f) == 4 and all(r["id"] == "fact_" + fnv("\0".join((r["kind"], r["subject"], r["object"], r["path"], str(r["line_start"]), r["value"]))) for r in f)
+
+
+def test_parts_of_one_row_group_are_dealt_out(spark, sf):
+    from graphloom.queries import rules
+
+    assert testdata.read(spark, sf, "part").rdd.getNumPartitions() == 1 < rules.parts(spark, sf).rdd.getNumPartitions()
+    assert "ArrowEvalPython" not in rules.rule_rust_tested_by(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
