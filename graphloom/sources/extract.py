@@ -1,6 +1,6 @@
 """Extraction: files to entities, facts and diagnostics, in one pass over the sources.
 
-An extractor is a function of one file. All run side by side over Arrow batches; their rows, of one common shape, are staged once and
+An extractor is a function of one file. All run side by side over Arrow batches; their rows, of one common shape, are staged once, joined by the inventory and
 split into the canonical tables. Nothing is shuffled.
 """
 
@@ -164,5 +164,5 @@ def extract(files: DataFrame, snapshot: str, extractors: list[Extractor] | None
     from graphloom.sources.extractors import EXTRACTORS
 
     rows = run(files, list(EXTRACTORS) if extractors is None else extractors)
-    rows = stage(rows.unionByName(inventory(files), allowMissingColumns=True), "extracted")
+    rows = stage(rows, "extracted").unionByName(inventory(files), allowMissingColumns=True)
     return tables(rows, files, snapshot)
